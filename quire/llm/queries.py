@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import splitting
+from quire.llm import splitting, tokens
 from quire.llm.tables import passages
 from quire.plans.session import table
 
@@ -19,7 +19,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_index = 0").select("table_name", "row_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, from its ids."""
+    return tokens.decode(p8_ids(spark, sf_dir))
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 
 SQL = {
     "p5_found": """
@@ -28,4 +38,5 @@ SQL = {
         JOIN split_limits USING (table_name)
         WHERE length(text) > max_chars
     """,
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
