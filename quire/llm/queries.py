@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import splitting, tokens
+from quire.llm import pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
 from quire.plans.session import table
 
 
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of participants of a book, with its counts, lift and odds ratio."""
+    records = pairs.participant_records(table(spark, sf_dir, "chunks_with_analysis"))
+    return pairs.pair_counts(records).select(F.col("grp").alias("document_id"), F.col("a").alias("participant_a"), F.col("b").alias("participant_b"), "n_ab", "n_a", "n_b", "n", "lift", "odds_ratio")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = pairs.participant_records(table(spark, sf_dir, "chunks_with_analysis"))
+    found = pairs.pair_counts(records, least=5).where("n_ab * n >= 3 * n_a * n_b")
+    return found.select(F.col("grp").alias("document_id"), F.col("a").alias("participant_a"), F.col("b").alias("participant_b"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every passage over its limit, in order."""
     return splitting.split(passages(spark, sf_dir), table(spark, sf_dir, "split_limits"))
@@ -29,7 +42,16 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated share of every document."""
+    return repetition.repeated_share(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p5_found": """
