@@ -1,0 +1,414 @@
+"""Linking the spellings of one person or organisation within a group (a book), as a noisy channel.
+
+Someone meant a canonical name c and typed a spelling v. The spellings that stand fully and regularly are candidate
+canonical forms; their frequency is the prior, and the likelihood of v given c is a product over what happened on the
+way: case, accents, order, titles, added middle names, nicknames, initials, left-out parts, typing and reading errors,
+each with its cost (negative log likelihood). A spelling joins the candidate of highest posterior, if that posterior
+is decisive among the candidates that are not themselves spellings of one name.
+
+1. Mentions are counted by (group, spelling), within tasks first.
+2. Spellings and candidates meet by keys they share (words with one letter left out, initials), not all with all.
+3. Full forms are linked first, each to a higher ranked one, and the links followed to their roots by doubling;
+   abbreviated forms are then judged against the roots alone, whose counts now include their spellings.
+
+No step gathers a group in one task; what grows with a group is the number of its distinct spellings.
+
+Defined results: null and blank names, and names for nobody in particular, are linked to nothing; a name that occurs
+once is its own entity; the same spelling in two groups is two entities; persons and organisations are told apart by
+the field they stand in; repeated rows raise counts but change no spelling. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.functions import analysis_json as aj
+from quire.plans.session import cut
+
+# Names for nobody in particular (whole names, and first words of such names).
+NOBODY = {"unknown", "unnamed", "narrator", "stranger", "crowd", "anonymous", "someone", "somebody", "nobody", "none", "n/a", "others", "people", "various", "unspecified", "not specified", "author", "speaker", "man", "woman", "boy", "girl", "voice", "everyone"}
+NOBODY_FIRST = {"a", "an", "the", "some", "unnamed", "unknown", "another", "anonymous", "several", "many", "two", "three", "first", "second", "young", "old"}
+# Titles.
+TITLES = {"mr", "mrs", "ms", "miss", "mister", "dr", "doctor", "prof", "professor", "sir", "lady", "lord", "dame", "madame", "mme", "mlle", "mademoiselle", "monsieur", "captain", "capt", "colonel", "col", "major", "general", "lieutenant", "lt", "sergeant", "sgt", "rev", "reverend", "father", "fr", "sister", "brother", "saint", "esq", "esquire", "jr", "sr", "phd", "md", "count", "countess", "baron", "baroness", "duke", "duchess", "herr", "frau", "don", "dona", "senor", "senora", "signor", "signora"}
+# Common English short forms of given names.
+NICKNAMES = {
+    "abigail": "abby abbie gail", "adelaide": "addie ada della heidi", "albert": "bert bertie al", "alexander": "alex alec alick sandy xander sasha", "ambrose": "brose amby", "andrew": "andy drew", "anthony": "tony", "augustus": "gus gussie august", "bartholomew": "bart barty bat tolly", "beatrix": "bea trixie bee trix",
+    "benjamin": "ben benny", "catherine": "cathy kate kitty kit cat", "charles": "charlie chuck", "charlotte": "lottie lotty charley charlie tottie", "christopher": "chris kit topher", "constance": "connie con", "cornelius": "neil con corney corny neely", "dorothea": "dora dot dolly thea dorrie dottie", "edmund": "ed ned ted eddie eddy", "edward": "ed ned ted eddie teddy",
+    "elizabeth": "eliza lizzie beth bess betty liz betsy libby lisa elsie", "ernest": "ernie", "etienne": "tienne steven", "frederick": "fred freddie freddy fritz rick", "george": "georgie", "harold": "harry hal", "heloise": "lois ellie elo", "henrietta": "etta hetty hattie hettie ettie harriet", "henry": "hal harry hank", "ingrid": "inga inge",
+    "isadora": "izzy dora isa issy", "james": "jim jimmy jem jamie", "jeremiah": "jerry", "john": "jack johnny", "jonas": "joe jon jonah", "joseph": "joe joey", "josephine": "jo josie fina posy josy", "josiah": "joss joe jos si", "jurgen": "jorg george", "katherine": "kate kitty kit kathy katie kay kat",
+    "lawrence": "larry laurie lawrie lars", "leopold": "leo poldi", "lucinda": "cindy lucy lu cinda", "margaret": "maggie meg peg peggy daisy madge marge greta rita", "marguerite": "maggie daisy margot rita meg peg peggy", "mary": "molly polly may", "matthias": "matt matty mat", "michael": "mike mick", "nathaniel": "nat nate nathan than", "nicholas": "nick nicky",
+    "octavia": "tavy tavia tave", "patrick": "pat paddy", "percival": "percy perce", "philippa": "pippa pip phil", "renee": "rennie ren", "richard": "dick rick dickie richie dickon", "robert": "bob rob bobby robbie robin bert", "rosalind": "ros roz rosie linda rosa", "samuel": "sam sammy", "sarah": "sally sadie", "silas": "si sy", "soren": "sorry", "susannah": "sue sukey susie susan suky sukie",
+    "theodore": "theo ted teddy dora", "theresa": "tess terry tessa tessie tracy resi", "thomas": "tom tommy", "wilhelmina": "mina minnie willa billie wilma minna elma", "william": "will bill billy willie liam", "zoe": "zo zozo",
+}
+_SHORT = {}
+for _name, _forms in NICKNAMES.items():
+    for _form in _forms.split():
+        _SHORT.setdefault(_form, set()).add(_name)
+# Words that an organisation's initials and spellings may leave out.
+MINOR = {"of", "and", "the", "for", "de", "la", "&"}
+# Abbreviations of words in organisations' names that are no prefix of them.
+ORG_SHORT = {"rly": "railway", "ry": "railway", "ltd": "limited", "bros": "brothers", "gld": "guild", "assn": "association", "assoc": "association", "st": "saint", "dept": "department", "intl": "international", "mfg": "manufacturing", "govt": "government", "hosp": "hospital", "natl": "national"}
+
+# Words for a kind of organisation, which alone do not tell one from another.
+ORG_KINDS = {"association", "brothers", "company", "corporation", "gazette", "guild", "historical", "hospital", "incorporated", "institute", "letters", "limited", "ministry", "affairs", "printers", "railway", "royal", "saint", "shipping", "society", "university", "college", "school", "museum", "library", "bank", "church", "club", "committee", "council", "department", "office", "press", "union"}
+
+#: Costs, as negative log likelihoods.
+COST = {"case": 0.7, "accent": 1.0, "order": 1.0, "title": 0.8, "middle": 1.6, "nick": 1.5, "initial": 1.6, "read": 2.0, "edit": 3.0, "surname": 2.5, "given": 3.0, "missing": 1.5, "abbrev": 1.0, "acronym": 3.0}
+DECISIVE = 0.75
+MAX_COST = 9.5
+
+
+@lru_cache(maxsize=1 << 18)
+def plain(s: str) -> str:
+    """Lower case, without accents."""
+    s = unicodedata.normalize("NFKD", s.casefold().replace("ø", "o").replace("œ", "oe").replace("æ", "ae").replace("ł", "l").replace("đ", "d"))
+    return "".join(c for c in s if not unicodedata.combining(c))
+
+
+@lru_cache(maxsize=1 << 18)
+def read_alike(s: str) -> str:
+    """One form for letters that readers and ears confuse."""
+    s = s.replace("0", "o").replace("1", "l").replace("5", "s").replace("8", "b")
+    s = s.replace("rn", "m").replace("li", "h").replace("cl", "d").replace("vv", "w").replace("nn", "m").replace("ii", "u")
+    return s.replace("ph", "f").replace("x", "ks").replace("ck", "k").replace("c", "k").replace("y", "i").replace("z", "s").replace("i", "l")
+
+
+@lru_cache(maxsize=1 << 18)
+def distance(a: str, b: str, most: int = 2) -> int:
+    """Edits (with transpositions) between a and b, or most + 1."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, now = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        nxt = [i]
+        for j, y in enumerate(b, 1):
+            d = min(now[j] + 1, nxt[-1] + 1, now[j - 1] + (x != y))
+            if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            nxt.append(d)
+        if min(nxt) > most:
+            return most + 1
+        before, now = now, nxt
+    return min(now[-1], most + 1)
+
+
+def typo(a: str, b: str) -> float | None:
+    """Cost of typing word a for word b, or None."""
+    if a == b:
+        return 0.0
+    if len(a) >= 3 and read_alike(a) == read_alike(b):
+        return COST["read"]
+    short = min(len(a), len(b))
+    d = distance(a, b, 2)
+    if d == 1 and short >= 3 or d == 2 and short >= 6:
+        return COST["edit"] * d
+    return None
+
+
+class Name:
+    """What a spelling says."""
+
+    __slots__ = ("accents", "comma", "dotted", "kind", "letters", "org", "regular", "text", "titles", "words")
+
+    def __init__(self, text: str, org: bool) -> None:
+        self.text, self.org = text, org
+        quoted = re.sub(r"[\"“”„«»(].*?[\"“”«»)]", " ", text)
+        self.comma = "," in quoted
+        words = [w for w in re.split(r"[\s,.]+" if not org else r"[\s,.]+", quoted) if w]
+        self.dotted = {plain(w) for w in re.findall(r"(\w+)\.", text)}
+        low = [plain(w).strip("'’-") for w in words]
+        low = [w for w in low if w]
+        self.titles = 0
+        if not org:
+            kept = [w for w in low if w not in TITLES]
+            self.titles = len(low) - len(kept) + (quoted != text)
+            low = kept
+        self.letters = "".join(w[0] for w in low if w not in MINOR)
+        self.words = [w for w in low if w not in MINOR] if org else low
+        self.accents = plain(text) != text.casefold()
+        bare = text.strip()
+        cased = all(w[:1].isupper() or w in ("of", "and", "&", "the", "de", "la") for w in bare.split()) and not (bare.isupper() and len(bare) > 4)
+        self.regular = cased and not self.comma and not self.titles and not self.dotted and "  " not in text and bare == text and not re.search(r"\d", text) and not (org and bare.startswith("The "))
+        if self.nobody():
+            self.kind = "nobody"
+        elif org:
+            compact = text.replace(".", "").replace(" ", "")
+            acronym = len(self.words) and (len(self.words) == 1 and compact.isupper() and len(compact) <= 5 or all(len(w) == 1 for w in self.words))
+            if acronym:
+                self.letters = plain(compact)
+            self.kind = "acronym" if acronym else "full" if len(self.words) >= 2 and not self.dotted else "short"
+        else:
+            self.kind = "full" if len(self.words) >= 2 and sum(len(w) > 1 for w in self.words) >= 2 else "short"
+
+    def nobody(self) -> bool:
+        low = [plain(w) for w in re.split(r"[\s,.]+", self.text) if w]
+        if not low:
+            return True
+        if self.org:
+            return " ".join(low) in NOBODY
+        return " ".join(low) in NOBODY or low[0] in NOBODY_FIRST and not any(w[:1].isupper() for w in self.text.split()[1:]) or all(w in NOBODY | NOBODY_FIRST for w in low)
+
+    def keys(self) -> set[str]:
+        out: set[str] = set()
+        for w in self.words:
+            if len(w) == 1:
+                continue
+            forms = {w, read_alike(w), *w.split("-")}
+            for f in list(forms):
+                out.add(f)
+                if len(f) >= 4:
+                    out |= {f[:i] + f[i + 1 :] for i in range(len(f))}
+            if not self.org:
+                out |= {"given:" + n for n in _SHORT.get(w, ())} | ({"given:" + w} if w in NICKNAMES else set()) | ({"start:" + w[:3]} if len(w) >= 3 else set())
+            else:
+                out.add("start:" + w[:3])
+        if self.org and len(self.letters) >= 2:
+            out.add("initials:" + self.letters)
+        return out
+
+
+@lru_cache(maxsize=1 << 17)
+def name(text: str, org: bool) -> Name:
+    return Name(text, org)
+
+
+def _given(a: str, b: str) -> float | None:
+    """Cost of a typed for the given name b."""
+    if (t := typo(a, b)) is not None:
+        return t
+    if len(a) == 1:
+        return COST["initial"] if b.startswith(a) else None
+    if b in _SHORT.get(a, ()):
+        return COST["nick"]
+    if len(a) >= 3 and b.startswith(a):
+        return COST["nick"]
+    near = [COST["nick"] + COST["edit"] for n in _SHORT if len(a) >= 4 and b in _SHORT[n] and distance(a, n, 1) == 1]
+    return near[0] if near else None
+
+
+def _surname(a: str, b: str) -> float | None:
+    if len(a) == 1:
+        return None
+    if (t := typo(a, b)) is not None:
+        return t
+    if "-" in b or "-" in a:
+        x, y = (a.split("-"), b.split("-"))
+        if len(x) == len(y):
+            parts = [typo(p, q) for p, q in zip(x, y, strict=True)]
+            return None if None in parts else sum(parts)
+        if len(x) < len(y) and len(x) == 1:
+            parts = [t for q in y if (t := typo(a, q)) is not None]
+            return min(parts) + COST["missing"] if parts else None
+    return None
+
+
+def _style(v: Name, c: Name) -> float:
+    cost = COST["title"] * v.titles + COST["order"] * v.comma
+    if v.text.isupper() or v.text.islower():
+        cost += COST["case"]
+    if c.accents and not v.accents:
+        cost += COST["accent"]
+    return cost
+
+
+def person_cost(v: Name, c: Name) -> float | None:
+    """Cost of v for the person whose full regular name is c."""
+    if len(c.words) < 2:
+        return None
+    given, surname = c.words[0], c.words[-1]
+    middle = c.words[1:-1]
+    best: float | None = None
+    n = len(v.words)
+    if n == 1:
+        w = v.words[0]
+        options = [x + y for x, y in ((_surname(w, surname), COST["surname"]), (_given(w, given), COST["given"])) if x is not None and len(w) > 1]
+        if v.titles and (s := _surname(w, surname)) is not None and len(w) > 1:
+            options.append(s + COST["surname"] - 1)
+        return min(options) + _style(v, c) if options else None
+    for i, a in enumerate(v.words):
+        g = _given(a, given)
+        if g is None:
+            continue
+        for j, b in enumerate(v.words):
+            if i == j or (s := _surname(b, surname)) is None:
+                continue
+            rest = [w for k, w in enumerate(v.words) if k not in (i, j)]
+            cost = g + s + (COST["order"] if j < i and not v.comma else 0)
+            cost += 2 * COST["order"] * sum(k < i and k != j for k in range(n))  # a middle name does not come first
+            for w in rest:
+                near = [t for m in middle if (t := _given(w, m)) is not None]
+                cost += min(near) if near else COST["middle"]
+            if len(rest) > 2 or any(len(w) > 1 and w in (given, surname) for w in rest):
+                continue
+            cost += COST["middle"] * max(0, len(middle) - len(rest))
+            best = cost if best is None else min(best, cost)
+    return None if best is None else best + _style(v, c)
+
+
+def _org_word(a: str, b: str, dotted: bool) -> float | None:
+    if (t := typo(a, b)) is not None:
+        return t
+    if ORG_SHORT.get(a) == b or ORG_SHORT.get(b) == a:
+        return COST["abbrev"]
+    if len(a) >= 2 and b.startswith(a):
+        return COST["abbrev"]
+    if dotted and len(a) >= 3 and any(distance(a, b[:k], 1) <= 1 for k in (len(a) - 1, len(a), len(a) + 1)):
+        return COST["abbrev"] + COST["edit"]
+    return None
+
+
+def org_cost(v: Name, c: Name) -> float | None:
+    """Cost of v for the organisation whose full regular name is c."""
+    if v.kind == "acronym":
+        return COST["acronym"] if len(v.letters) >= 2 and v.letters == c.letters else None
+    if not v.words:
+        return None
+    free = list(c.words)
+    cost = 0.0
+    strong = False
+    for w in v.words:
+        options = [(t, i) for i, b in enumerate(free) if (t := _org_word(w, b, w in v.dotted)) is not None]
+        if not options:
+            # the last word may be repeated as an abbreviation
+            if w in v.dotted and c.words[-1].startswith(w):
+                cost += COST["abbrev"]
+                continue
+            return None
+        t, i = min(options)
+        strong |= len(w) >= 4 and free[i] not in ORG_KINDS and t <= COST["edit"] * 2
+        cost += t
+        free.pop(i)
+    if len(v.words) < 2 or not strong and free:
+        return None
+    return cost + COST["missing"] * len(free) + _style(v, c)
+
+
+def channel_cost(v: str, c: str, org: bool) -> float | None:
+    a, b = name(v, org), name(c, org)
+    cost = org_cost(a, b) if org else person_cost(a, b)
+    return None if cost is None or cost > MAX_COST else cost
+
+
+# ---- mentions
+
+_COUNT = pa.schema([("grp", pa.string()), ("spelling", pa.string()), ("org", pa.bool_()), ("n", pa.int64())])
+_COUNT_SCHEMA = "grp string, spelling string, org boolean, n bigint"
+
+
+def _mentions(read, flush_at: int = 1 << 19):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str, bool], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in counts], _COUNT[i].type) for i in range(3)] + [pa.array(counts.values(), pa.int64())], schema=_COUNT)
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for grp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root = aj.as_object(aj.load(text))
+                for spelling, org in read(root) if root is not None else ():
+                    key = (grp, spelling, org)
+                    counts[key] = counts.get(key, 0) + 1
+            if len(counts) >= flush_at:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _chunk_names(root: dict) -> Iterator[tuple[str, bool]]:
+    for x in aj.member(aj.as_object(root.get("entities")), "characters"):
+        if (n := aj.name_of(x)) is not None:
+            yield n, False
+    for r in aj.elements(root.get("relationships_interactions")):
+        for x in aj.member(r, "participants"):
+            if (n := aj.name_of(x)) is not None:
+                yield n, False
+
+
+def _block_names(root: dict) -> Iterator[tuple[str, bool]]:
+    held = aj.as_object(root.get("key_entities_in_block"))
+    for field, org in (("characters", False), ("organizations", True)):
+        for x in aj.member(held, field):
+            if (n := aj.name_of(x)) is not None:
+                yield n, org
+
+
+def mention_counts(chunk_analyses: DataFrame, block_analyses: DataFrame) -> DataFrame:
+    """grp, spelling, org, n of the named fields of both tables. A spelling seen as both is what it is seen as more often."""
+    parts = [df.where("document_id is not null and analysis is not null").select("document_id", "analysis").mapInArrow(_mentions(read), _COUNT_SCHEMA) for df, read in ((chunk_analyses, _chunk_names), (block_analyses, _block_names))]
+    by = parts[0].unionByName(parts[1]).groupBy("grp", "spelling").agg(F.sum(F.when(F.col("org"), F.col("n")).otherwise(0)).alias("as_org"), F.sum("n").alias("n"))
+    return by.select("grp", "spelling", (F.col("as_org") * 2 > F.col("n")).alias("org"), "n")
+
+
+# ---- linking
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [name(s, o) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        more = [pa.array([x.kind for x in names]), pa.array([x.regular and x.kind == "full" for x in names]), pa.array([sorted(x.keys()) if x.kind != "nobody" else [] for x in names], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *more], names=["grp", "spelling", "org", "n", "kind", "regular", "keys"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        org, v, c = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        cost = [channel_cost(a, b, o) for a, b, o in zip(v, c, org, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(cost, pa.float64())], names=["grp", "org", "spelling", "canonical", "n", "cost"])
+
+
+def _attach(spellings: DataFrame, candidates: DataFrame, *, higher: bool) -> DataFrame:
+    """grp, spelling, canonical: the candidate of highest posterior. higher: only candidates ranked above the spelling."""
+    left = spellings.select("grp", "org", "spelling", F.col("regular").alias("v_regular"), F.col("n").alias("v_n"), F.explode("keys").alias("key"))
+    right = candidates.select("grp", "org", F.col("spelling").alias("canonical"), F.col("regular").alias("c_regular"), F.col("n").alias("c_n"), F.explode("keys").alias("key"))
+    met = left.join(right, ["grp", "org", "key"]).where("spelling <> canonical")
+    if higher:
+        met = met.where("struct(c_regular, c_n, canonical) > struct(v_regular, v_n, spelling)")
+    met = met.select("grp", "org", "spelling", "canonical", F.col("c_n").alias("n")).distinct()
+    scored = met.mapInArrow(_scored, "grp string, org boolean, spelling string, canonical string, n bigint, cost double").where("cost is not null")
+    weighed = scored.withColumn("weight", F.col("n") * F.exp(-F.col("cost")))
+    best = weighed.groupBy("grp", "spelling").agg(F.max_by("canonical", F.struct("weight", "canonical")).alias("canonical"), F.max("weight").alias("top"), F.sum("weight").alias("all"))
+    if not higher:
+        best = best.where(F.col("top") >= DECISIVE * F.col("all"))
+    return best.select("grp", "spelling", "canonical")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """Links followed to their ends, by doubling. They lead upwards in rank, so there are no rings."""
+    while True:
+        on = links.select("grp", F.col("spelling").alias("canonical"), F.col("canonical").alias("further"))
+        links = cut(links.join(on, ["grp", "canonical"], "left").select("grp", "spelling", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")))
+        if links.where("moved").isEmpty():
+            return links.select("grp", "spelling", "canonical")
+        links = links.select("grp", "spelling", "canonical")
+
+
+def link_names(counts: DataFrame) -> DataFrame:
+    """grp, spelling, org, n, entity: the canonical spelling of each spelling's entity, which is its own where it is linked to nothing."""
+    known = cut(counts.mapInArrow(_features, "grp string, spelling string, org boolean, n bigint, kind string, regular boolean, keys array<string>"))
+    full = known.where("kind = 'full'")
+    first = _roots(_attach(full, full, higher=True))
+    merged = full.join(first, ["grp", "spelling"], "left").withColumn("entity", F.coalesce("canonical", "spelling"))
+    weight = merged.groupBy("grp", F.col("entity").alias("spelling")).agg(F.sum("n").alias("total"))
+    heads = full.join(weight, ["grp", "spelling"]).select("grp", "spelling", "org", F.col("total").alias("n"), "regular", "keys")
+    second = _attach(known.where("kind in ('short', 'acronym')"), heads, higher=False)
+    links = first.unionByName(second)
+    return known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", F.coalesce("canonical", "spelling").alias("entity"))
+
+
+def spelling_pairs(linked: DataFrame) -> DataFrame:
+    """grp, spelling_a, spelling_b of every two spellings of one entity, spelling_a the smaller."""
+    a = linked.select("grp", "entity", F.col("spelling").alias("spelling_a"))
+    b = linked.select("grp", "entity", F.col("spelling").alias("spelling_b"))
+    return a.join(b, ["grp", "entity"]).where("spelling_a < spelling_b").select("grp", "spelling_a", "spelling_b")

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import pairs, repetition, splitting, tokens
+from quire.llm import names, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
 from quire.plans.session import table
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a book with the entity it is taken for."""
+    counts = names.mention_counts(table(spark, sf_dir, "chunks_with_analysis"), table(spark, sf_dir, "block_analysis"))
+    return names.link_names(counts).withColumnRenamed("grp", "document_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = names.mention_counts(table(spark, sf_dir, "chunks_with_analysis"), table(spark, sf_dir, "block_analysis"))
+    return names.spelling_pairs(names.link_names(counts)).withColumnRenamed("grp", "document_id")
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of participants of a book, with its counts, lift and odds ratio."""
     records = pairs.participant_records(table(spark, sf_dir, "chunks_with_analysis"))
@@ -51,7 +62,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p5_found": """
