@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import names, pairs, repetition, splitting, tokens
+from quire.llm import encoding, lookalikes, names, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
 from quire.plans.session import table
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage as its author wrote it, as far as that can be told."""
+    return encoding.restore(passages(spark, sf_dir), encoding.fit(table(spark, sf_dir, "documents")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restore(passages(spark, sf_dir), encoding.fit(table(spark, sf_dir, "documents")), only_garbled=True).select("table_name", "row_id")
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage in its one form, and whether it was in it."""
+    return lookalikes.one_form(passages(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages not in their one form; garbled ones, which are problem 1's, are taken out."""
+    changed = lookalikes.one_form(passages(spark, sf_dir), only_changed=True)
+    sound = encoding.restore(changed, encoding.fit(table(spark, sf_dir, "documents"))).where("not garbled")
+    return sound.select("table_name", "row_id")
+
+
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spelling of a book with the entity it is taken for."""
     counts = names.mention_counts(table(spark, sf_dir, "chunks_with_analysis"), table(spark, sf_dir, "block_analysis"))
@@ -62,7 +83,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p5_found": """
