@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding, lookalikes, names, pairs, repetition, splitting, tokens
+from quire.llm import encoding, lookalikes, mixing, names, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
-from quire.plans.session import table
+from quire.plans.session import cut, table
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,23 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, sf_dir))
 
 
+def _mixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    sized = mixing.sized_documents(documents, tokens.encode(documents, lengths_only=True))
+    planned = cut(mixing.plan(sized, table(spark, sf_dir, "mix_targets")))
+    return mixing.draw(sized, planned), planned
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix, with the number of copies."""
+    return _mixes(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    return mixing.report(*_mixes(spark, sf_dir))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated share of every document."""
     return repetition.repeated_share(table(spark, sf_dir, "documents"))
@@ -83,7 +100,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p5_found": """
