@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding, lookalikes, mixing, names, pairs, repetition, splitting, tokens
+from quire.llm import encoding, lookalikes, mixing, names, neighbours, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
 from quire.plans.session import cut, table
 
@@ -64,6 +64,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_index = 0").select("table_name", "row_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least 0.85 among the 10 most similar of either."""
+    near = neighbours.similar(table(spark, sf_dir, "embeddings_dict"), least=0.85)
+    return near.select(F.least("key", "neighbour").alias("chunk_id_a"), F.greatest("key", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk."""
+    near = neighbours.similar(table(spark, sf_dir, "embeddings_dict"), graph=False, shard=neighbours.CELL, probes=neighbours.CELL_PROBES)
+    return near.select(F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 5).alias("similarity"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"))
@@ -100,7 +112,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p5_found": """
