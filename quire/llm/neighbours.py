@@ -2,7 +2,7 @@
 
 The vectors are divided into shards, each with a hierarchical small-world graph of its own: a level is drawn for every
 vector (1/M of them reach the next one), the graph of a level is a flat array of neighbour numbers, and a search goes
-down from the top, keeping a beam of the best vectors met and opening the neighbours of the best unopened ones until
+down from the first level that is small enough to scan, keeping a beam of the best vectors met and opening the neighbours of the best unopened ones until
 none is left in the beam. Vectors are inserted in batches that double the graph, so that all searches of a batch run
 in lockstep as array operations; neighbours are chosen for diversity, with links back.
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.session import cut
-
 SAMPLE, SHARD, PROBES = 20_000, 16_384, 3
-M, EF = 12, 16
+M, EF = 10, 12
 #: Unopened vectors of a beam opened at once.
-OPEN = 4
+OPEN = 3
+#: A level of at most SCAN vectors is scanned whole for the ENTRIES best to go down from.
+SCAN, ENTRIES = 2048, 4
 #: The exact search: shards of this size, and as many of the nearest.
 CELL, CELL_PROBES = 2048, 16
 
@@ -125,7 +125,9 @@ class Graph:
         self.x, self.m, self.ef = np.ascontiguousarray(x[self.order]), m, ef
         top = int(level.max()) if n else 0
         self.sizes = [int((level >= l).sum()) for l in range(top + 1)]
-        self.links = [np.full((s, 2 * m if l == 0 else m), -1, np.int32) for l, s in enumerate(self.sizes)]
+        # the first level that is small enough is scanned whole, so no level from there on needs links
+        self.top = next((l for l, size in enumerate(self.sizes) if l and size <= SCAN), top + 1)
+        self.links = [np.full((s, 2 * m if l == 0 else m), -1, np.int32) for l, s in enumerate(self.sizes[: self.top])]
         self.best_ids, self.best_sims = np.full((n, keep), -1, np.int32), np.full((n, keep), -np.inf, np.float32)
         done = min(n, 1)
         while done < n:
@@ -134,15 +136,22 @@ class Graph:
             done = high
 
     def _descend(self, q: np.ndarray, built: int, to: int) -> np.ndarray:
-        entry = np.zeros((len(q), 1), np.int32)
-        for l in range(len(self.sizes) - 1, to, -1):
+        size = min(self.sizes[self.top], built) if self.top < len(self.sizes) else 0
+        if size > 1:
+            entry = np.empty((len(q), min(ENTRIES, size)), np.int32)
+            for low in range(0, len(q), 2048):
+                sims = q[low : low + 2048] @ self.x[:size].T
+                entry[low : low + 2048] = np.argpartition(sims, size - entry.shape[1], axis=1)[:, size - entry.shape[1] :]
+        else:
+            entry = np.zeros((len(q), 1), np.int32)
+        for l in range(self.top - 1, to, -1):
             size = min(self.sizes[l], built)
             if size > 1:
                 entry = search(self.x[:size], self.links[l][:size], q, entry, 4)[0]
         return entry
 
     def _insert(self, low: int, high: int) -> None:
-        for l in range(len(self.sizes)):  # upwards, as the way down leads over levels without the batch
+        for l in range(self.top):  # upwards, as the way down leads over levels without the batch
             top = min(high, self.sizes[l])
             if low >= top:
                 continue
@@ -253,10 +262,10 @@ def unit(values: pa.Array, length: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str, length: int) -> DataFrame:
-    """key, vec of usable vectors, each key once."""
+    """key, vec of usable vectors; a key stands as often as it was delivered."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("vec")).where("key is not null and vec is not null")
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return rows.where((F.size("vec") == length) & finite & F.exists("vec", lambda v: v != 0)).groupBy("key").agg(F.first("vec").alias("vec"))
+    return rows.where((F.size("vec") == length) & finite & F.exists("vec", lambda v: v != 0))
 
 
 def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_values", length: int = 64, k: int = 10, probes: int = PROBES, shard: int = SHARD, ef: int = EF, least: float = -2.0, sample: int = SAMPLE, graph: bool = True) -> DataFrame:
@@ -265,7 +274,7 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
     With ``graph`` by small-world graphs; without it by comparing with every vector of the shards visited, which finds
     more of the vectors that are similar to no one in particular, from smaller and more shards.
     """
-    vectors = cut(usable(df, key, vector, length))
+    vectors = usable(df, key, vector, length)
     count = vectors.count()
     spark = df.sparkSession
     if count == 0:
@@ -313,6 +322,9 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
         return pa.table({"key": keys.take(pa.array(src)), "neighbour": keys.take(pa.array(dst)), "similarity": pa.array(sims.astype(np.float32))})
 
     def find(rows: pa.Table) -> pa.Table:
+        # repeated rows of a key take the same ways, so each shard can drop them by itself
+        once = np.unique(rows.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), return_index=True)[1]
+        rows = rows.take(pa.array(once))
         keys = rows.column("key").combine_chunks()
         x = unit(rows.column("vec").combine_chunks(), length)
         home = rows.column("home").to_numpy()
