@@ -1,4 +1,4 @@
-"""Element-wise functions on numeric columns. All are plain column expressions; null gives null."""
+"""Element-wise functions on numeric columns. All are plain column expressions; null gives null, and so does a divisor of 0."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def softmin_true(a: Num, b: Num, c: Num, gamma: float) -> Column:
 def softmin_relative(a: Num, b: Num, c: Num, gamma: float) -> Column:
     """M (-g ln sum e^(-(v/M)/g))."""
     vs, m = _scaled(a, b, c)
-    return m * (-gamma * F.log(sum(F.exp(-(v / m) / gamma) for v in vs)))
+    return m * (-gamma * F.log(sum(F.exp(-F.try_divide(v, m) / gamma) for v in vs)))
 
 
 def max_value_sigmoid(x: Num, limit: float, gain: float = 0.5) -> Column:
@@ -137,7 +137,7 @@ def max_entropy(categories: Num) -> Column:
 
 def optimal_batch_size(tokens: Num, size: Num, most: int = 200) -> Column:
     """A twentieth of the chunks, at least 1 and at most ``most``."""
-    chunks = F.greatest(F.lit(1), F.floor(_c(tokens) / _c(size)).cast("bigint"))
+    chunks = F.greatest(F.lit(1), F.floor(F.try_divide(_c(tokens), _c(size))).cast("bigint"))
     return F.least(F.greatest(F.lit(1), F.floor(chunks / 20).cast("bigint")), F.lit(most))
 
 
@@ -149,7 +149,7 @@ def worker_count(tokens_per_call: Num, tokens_per_minute: float, requests_per_mi
 
 
 def embed_batch_size(chunk_tokens: Num, payload: int = 4_500_000, vector_bytes: int = 1536 * 8, token_limit: int = 1_000_000) -> Column:
-    return F.least(F.lit(payload // vector_bytes), F.floor(F.lit(token_limit) / _c(chunk_tokens)).cast("bigint"))
+    return F.least(F.lit(payload // vector_bytes), F.floor(F.try_divide(F.lit(token_limit), _c(chunk_tokens))).cast("bigint"))
 
 
 def query_batch_size(payload: Num, overhead: int = 40, chunk: int = 400) -> Column:

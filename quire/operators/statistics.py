@@ -3,7 +3,8 @@
 Sums and moments are ordinary aggregates: partial sums in each task, one row a group shuffled. What needs order
 (median, quantiles, Gini, k smallest) goes through ``ranked``, which never sorts a group in one task.
 
-Nulls are left out of every statistic; groups without values give null (Gini: 0); NaN is a value like any other.
+Nulls are left out of every statistic; groups without values have no row; a ratio whose divisor is 0 is null (Gini: 0);
+NaN is a value like any other.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def differentiable_quantile(df: DataFrame, keys: list[str], value: str, q: float
     t = r.groupBy(*keys).agg(_at(F.floor(F.lit(float(q)) * (F.col("total") - 1))).alias("t"))
     joined = r.join(t, keys) if keys else r.crossJoin(t)
     w = sigmoid(100 * (F.col("x") - F.col("t"))) * F.col("n")
-    return joined.groupBy(*keys).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("quantile"))
+    return joined.groupBy(*keys).agg(F.try_divide(F.sum(w * F.col("x")), F.sum(w)).alias("quantile"))
 
 
 def soft_percentile_count(df: DataFrame, keys: list[str], value: str, p: float, steps: int = 20) -> DataFrame:
@@ -159,12 +160,12 @@ def kurtosis_unbiased(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def scaled_variance(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return _values(df, keys, value).groupBy(*keys).agg((F.var_pop("x") / (F.avg("x") * F.avg("x"))).alias("scaled_variance"))
+    return _values(df, keys, value).groupBy(*keys).agg(F.try_divide(F.var_pop("x"), F.avg("x") * F.avg("x")).alias("scaled_variance"))
 
 
 def deviation_over_mean_abs(df: DataFrame, keys: list[str], column: str, value: str) -> DataFrame:
     """Mean over columns of sample deviation by mean absolute value. Long form: one row an element."""
-    by = _values(df, [*keys, column], value).groupBy(*keys, column).agg((F.stddev_samp("x") / F.avg(F.abs("x"))).alias("ratio"))
+    by = _values(df, [*keys, column], value).groupBy(*keys, column).agg(F.try_divide(F.stddev_samp("x"), F.avg(F.abs("x"))).alias("ratio"))
     return by.groupBy(*keys).agg(F.avg("ratio").alias("sd_over_mean_abs"))
 
 
@@ -185,10 +186,10 @@ def _entropy(p: Column) -> Column:
 def entropies(df: DataFrame, keys: list[str], value: str, power: float = 2.0) -> DataFrame:
     """entropy of shares x / (sum + 1e-5), its share of the maximum, the penalty max / entropy - 1, and that penalty of the shares of x^power."""
     rows = _with(_values(df, keys, value), keys, F.sum("x").alias("_sum"), F.sum(F.pow("x", F.lit(power))).alias("_powers"), F.count("*").alias("_n"))
-    h = F.sum(_entropy(F.col("x") / (F.col("_sum") + 1e-5)))
-    hp = F.sum(_entropy(F.pow("x", F.lit(power)) / F.col("_powers")))
+    h = F.sum(_entropy(F.try_divide(F.col("x"), F.col("_sum") + 1e-5)))
+    hp = F.sum(_entropy(F.try_divide(F.pow("x", F.lit(power)), F.col("_powers"))))
     most = F.ln(F.max("_n").cast("double"))
-    return rows.groupBy(*keys).agg(h.alias("entropy"), (h / most).alias("share_of_max"), (most / h - 1).alias("penalty"), (most / hp - 1).alias("powered_penalty"))
+    return rows.groupBy(*keys).agg(h.alias("entropy"), F.try_divide(h, most).alias("share_of_max"), (F.try_divide(most, h) - 1).alias("penalty"), (F.try_divide(most, hp) - 1).alias("powered_penalty"))
 
 
 # ---- soft counts
@@ -201,13 +202,13 @@ def count_above(df: DataFrame, keys: list[str], value: str, level: float, beta:
 def count_below(df: DataFrame, keys: list[str], value: str, threshold: float, scale: float = 100.0) -> DataFrame:
     """Soft count below a threshold, its slope twice ``scale`` by the sample deviation."""
     rows = _with(_values(df, keys, value), keys, F.stddev_samp("x").alias("_sd"))
-    return rows.groupBy(*keys).agg(F.sum(1 - sigmoid((F.col("x") - threshold) * (2 * scale) / F.col("_sd"))).alias("count_below"))
+    return rows.groupBy(*keys).agg(F.sum(1 - sigmoid(F.try_divide((F.col("x") - threshold) * (2 * scale), F.col("_sd")))).alias("count_below"))
 
 
 def columns_below(df: DataFrame, column: str, value: str, least: float, elements: float, scale: float = 100.0, most_columns: float | None = None) -> DataFrame:
     """Soft number of columns with fewer than 0.9 ``elements`` values of at least ``least``; with ``most_columns`` the soft answer whether they are more than that."""
     rows = _with(_values(df, [column], value), [], F.stddev_samp("x").alias("_sd"))
-    by = rows.groupBy(column).agg(F.sum(1 - sigmoid((least - F.col("x")) * (2 * scale) / F.col("_sd"))).alias("filled"))
+    by = rows.groupBy(column).agg(F.sum(1 - sigmoid(F.try_divide((least - F.col("x")) * (2 * scale), F.col("_sd")))).alias("filled"))
     out = count_below(by, [], "filled", elements * 0.9, scale).withColumnRenamed("count_below", "columns_below")
     if most_columns is None:
         return out
@@ -238,7 +239,7 @@ def quantile_loss(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Statistic and probability that a group is not normal: soft counts of z-scores between quartiles against expected ones."""
     rows = _with(_values(df, keys, value), keys, F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_sd"), F.count("*").alias("_n"))
-    z = (F.col("x") - F.col("_mean")) / F.col("_sd")
+    z = F.try_divide(F.col("x") - F.col("_mean"), F.col("_sd"))
     below = [F.sum(sigmoid((q - z) * 100)).alias(f"b{i}") for i, q in enumerate(NORMAL_QUANTILES.values())]
     by = rows.groupBy(*keys).agg(*below, F.max("_n").cast("double").alias("n"))
     # the last quantile's own bin is left to the remainder
@@ -288,8 +289,8 @@ def row_correlations(left: DataFrame, right: DataFrame, key: str, vector: str, e
 
     a, b = centred(left, "i", "a"), centred(right, "j", "b")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    r = dot / (F.col("a_norm") * F.col("b_norm"))
-    return a.join(b, how="cross").select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    r = F.try_divide(dot, F.col("a_norm") * F.col("b_norm"))
+    return a.join(b, how="cross").select("i", "j", F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def matrix_correlations(df: DataFrame, vector: str, length: int) -> DataFrame:

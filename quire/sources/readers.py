@@ -13,11 +13,16 @@ from quire.functions import text as tx
 
 def documents(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
     """document_id, path, text, encoding of every file. UTF-8 files: spaces and tabs squeezed, cleaned, line breaks kept; others are read as Latin-1 and put on one line. A missing path raises."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """documents() of rows with path and content."""
+    raw = files.select("path", "content")
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     # line ends as text files have them
     newline = lambda c: F.regexp_replace(c, "\\r\\n?", "\n")
-    text = F.when(utf8, tx.clean(tx.squeeze(newline(F.decode("content", F.lit("UTF-8")))))).otherwise(tx.one_line(F.decode("content", F.lit("ISO-8859-1"))))
+    text = F.when(utf8, tx.clean(tx.squeeze(newline(F.col("content").cast("string"))))).otherwise(tx.one_line(F.decode("content", "ISO-8859-1")))
     return raw.select(tx.document_id("path").alias("document_id"), "path", text.alias("text"), F.when(utf8, "utf-8").otherwise("latin-1").alias("encoding"))
 
 

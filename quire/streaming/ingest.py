@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from quire.functions import text as tx
+from quire.sources import readers
 
 
 def arriving_documents(spark: SparkSession, folder: str, *, files_a_batch: int = 1000) -> DataFrame:
-    """document_id, text of text files as they arrive, cleaned as the batch reader does."""
-    raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
-    return raw.select(tx.document_id(F.col("_metadata.file_path")).alias("document_id"), tx.clean(tx.squeeze("value")).alias("text"))
+    """document_id, text of files as they arrive, read as the batch reader does."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return readers.decoded(raw).select("document_id", "text")
 
 
 def arriving_events(spark: SparkSession, folder: str, schema: str, *, late: str = "1 hour", window: str = "1 day") -> DataFrame:
