@@ -195,6 +195,11 @@ def entropies(df: DataFrame, keys: list[str], value: str, power: float = 2.0) ->
 # ---- soft counts
 
 
+def _by_deviation(x: Column, sd: Column) -> Column:
+    """x / sd; where all values are equal, as far beyond as a number goes."""
+    return F.when(sd.isNotNull(), F.when(sd != 0, F.try_divide(x, sd)).otherwise(F.signum(x) * 1e300))
+
+
 def count_above(df: DataFrame, keys: list[str], value: str, level: float, beta: float = 100.0) -> DataFrame:
     return _values(df, keys, value).groupBy(*keys).agg(F.sum(sigmoid((F.col("x") - level) * beta)).alias("count_above"))
 
@@ -202,13 +207,13 @@ def count_above(df: DataFrame, keys: list[str], value: str, level: float, beta:
 def count_below(df: DataFrame, keys: list[str], value: str, threshold: float, scale: float = 100.0) -> DataFrame:
     """Soft count below a threshold, its slope twice ``scale`` by the sample deviation."""
     rows = _with(_values(df, keys, value), keys, F.stddev_samp("x").alias("_sd"))
-    return rows.groupBy(*keys).agg(F.sum(1 - sigmoid(F.try_divide((F.col("x") - threshold) * (2 * scale), F.col("_sd")))).alias("count_below"))
+    return rows.groupBy(*keys).agg(F.sum(1 - sigmoid(_by_deviation((F.col("x") - threshold) * (2 * scale), F.col("_sd")))).alias("count_below"))
 
 
 def columns_below(df: DataFrame, column: str, value: str, least: float, elements: float, scale: float = 100.0, most_columns: float | None = None) -> DataFrame:
     """Soft number of columns with fewer than 0.9 ``elements`` values of at least ``least``; with ``most_columns`` the soft answer whether they are more than that."""
     rows = _with(_values(df, [column], value), [], F.stddev_samp("x").alias("_sd"))
-    by = rows.groupBy(column).agg(F.sum(1 - sigmoid(F.try_divide((least - F.col("x")) * (2 * scale), F.col("_sd")))).alias("filled"))
+    by = rows.groupBy(column).agg(F.sum(1 - sigmoid(_by_deviation((least - F.col("x")) * (2 * scale), F.col("_sd")))).alias("filled"))
     out = count_below(by, [], "filled", elements * 0.9, scale).withColumnRenamed("count_below", "columns_below")
     if most_columns is None:
         return out

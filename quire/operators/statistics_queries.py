@@ -288,21 +288,21 @@ def softmins(spark, d):
 @_query("math_bounds", """
     WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS x, greatest(0, l_quantity - 25 - (5 - 1e-5)) AS r, greatest(0, abs(l_quantity - 25) - (5 - 1e-5)) AS ra, l_tax * 10 AS t FROM lineitem)
     SELECT l_orderkey, l_linenumber,
-           round((1 / (1 + exp(-x * 0.25)) - 0.5) * 20, 6) AS limited,
-           round(1 - 1 / (1 + exp(-(x - 5) * 0.6)), 6) AS asymptotic,
-           round(r + 5 * r / (r + 1e-9), 6) AS zero_below,
-           round((ra + 5 * ra / (ra + 1e-9)) * x / (abs(x) + 1e-9), 6) AS zero_below_abs,
-           round((ra + 5 * ra / (ra + 1e-9) + 0.5 * (1 - ra / (ra + 1e-9))) * x / (abs(x) + 1e-9), 6) AS small_below_abs,
-           round(least(x, 12), 6) AS at_most,
-           round(3 * pow(greatest(0, x - 5) / 5, 2), 6) AS above_penalty,
-           round(3 * pow(greatest(0, -5 - x) / -5, 2), 6) AS below_penalty,
-           round(x + 7 * greatest(0, -5 - x) / (-5 - x + 1e-7), 6) AS added,
-           round(2 * x - x * x / 30, 6) AS quadratic,
-           round(t / (1 + exp(-(t - 0.35) * 100)), 6) AS masked,
-           round(100 / (1 + exp(-(0.05 - t) * 200)) + (1 - 1 / (1 + exp(-(0.05 - t) * 200))) * t, 6) AS masked_large,
-           round(t * (greatest(0, t - 0.123) / (t - 0.123 + 1e-7) + greatest(0, 0.123 - t) / (0.123 - t + 1e-7)), 6) AS masked_abs,
-           round(8 / (1 + exp(-x * 0.2)) - 4, 6) AS sigmoid_limited,
-           round(20 / (1 + exp(-(x + 10 - 10) * 0.5)) - 10, 6) AS sigmoid_between
+           round((1 / (1 + exp(-x * 0.25)) - 0.5) * 20, 6) + 0.0 AS limited,
+           round(1 - 1 / (1 + exp(-(x - 5) * 0.6)), 6) + 0.0 AS asymptotic,
+           round(r + 5 * r / (r + 1e-9), 6) + 0.0 AS zero_below,
+           round((ra + 5 * ra / (ra + 1e-9)) * x / (abs(x) + 1e-9), 6) + 0.0 AS zero_below_abs,
+           round((ra + 5 * ra / (ra + 1e-9) + 0.5 * (1 - ra / (ra + 1e-9))) * x / (abs(x) + 1e-9), 6) + 0.0 AS small_below_abs,
+           round(least(x, 12), 6) + 0.0 AS at_most,
+           round(3 * pow(greatest(0, x - 5) / 5, 2), 6) + 0.0 AS above_penalty,
+           round(3 * pow(greatest(0, -5 - x) / -5, 2), 6) + 0.0 AS below_penalty,
+           round(x + 7 * greatest(0, -5 - x) / (-5 - x + 1e-7), 6) + 0.0 AS added,
+           round(2 * x - x * x / 30, 6) + 0.0 AS quadratic,
+           round(t / (1 + exp(-(t - 0.35) * 100)), 6) + 0.0 AS masked,
+           round(100 / (1 + exp(-(0.05 - t) * 200)) + (1 - 1 / (1 + exp(-(0.05 - t) * 200))) * t, 6) + 0.0 AS masked_large,
+           round(t * (greatest(0, t - 0.123) / (t - 0.123 + 1e-7) + greatest(0, 0.123 - t) / (0.123 - t + 1e-7)), 6) + 0.0 AS masked_abs,
+           round(8 / (1 + exp(-x * 0.2)) - 4, 6) + 0.0 AS sigmoid_limited,
+           round(20 / (1 + exp(-(x + 10 - 10) * 0.5)) - 10, 6) + 0.0 AS sigmoid_between
     FROM v
 """)
 def bounds(spark, d):
@@ -313,7 +313,7 @@ def bounds(spark, d):
         "added": m.min_value_add("x", -5, 7), "quadratic": m.max_value_quadratic("x", 30), "masked": m.mask_small("t", 0.35), "masked_large": m.mask_very_small_as_large("t", 0.05), "masked_abs": m.mask_below_abs("t", 0.123),
         "sigmoid_limited": m.limited_sigmoid("x", 0.2, 4), "sigmoid_between": m.sigmoid_between("x", -10, 10),
     }
-    return v.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(k) for k, c in out.items()])
+    return v.select("l_orderkey", "l_linenumber", *[(F.round(c, 6) + 0.0).alias(k) for k, c in out.items()])
 
 
 @_query("math_capacity", """
