@@ -116,7 +116,7 @@ class Run:
         self.save("edges", graph.structure_edges(described).unionByName(graph.mention_edges(chunks)).unionByName(graph.interaction_edges(chunks)))
 
     def run(self, source: DataFrame | str | None = None, start: Stage = Stage.START) -> dict[str, float]:
-        """All stages from ``start`` on; seconds by what was written."""
+        """All stages after ``start``, the last one that is done already; seconds by what was written."""
         steps: list[Callable[[], None]] = [lambda: self.large_blocks(source), self.reduce, self.details, self.embeddings, self.graph]
         for step in steps[int(start) :]:
             step()

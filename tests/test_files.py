@@ -71,7 +71,8 @@ def test_stages_run_and_resume(spark, folder, tmp_path):
     assert run.load("embeddings").count() == run.load("chunks").count() > 3
     assert {"character_mary", "character_john", "Book One", "latin"} == {r.id for r in run.load("nodes").collect()}
     again = Run(spark, str(tmp_path / "stages"), Providers(chunk=_chunk_answer))
-    assert set(again.run(start=Stage.EMBEDDINGS)) == {"embeddings", "nodes", "edges"}
+    assert set(again.run(start=Stage.EMBEDDINGS)) == {"nodes", "edges"}
+    assert set(Run(spark, str(tmp_path / "stages")).run(start=Stage.DETAILED_ANALYSIS)) == {"embeddings", "nodes", "edges"}
     with pytest.raises(ValueError, match="no text"):
         Run(spark, str(tmp_path / "none")).run(source.limit(0))
 
