@@ -97,18 +97,18 @@ def entity_id(label: Col, name: Col) -> Column:
     return F.regexp_replace(F.concat(F.lower(_c(label)), F.lit("_"), F.lower(F.replace(_c(name), F.lit(" "), F.lit("_")))), "(?U)\\W+", "")
 
 
-# Date and time layouts, in the order they are tried.
-_DATES = ("yyyy-M-d", "d-M-yyyy", "M/d/yyyy", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy")
-_TWELVE = (" h:m:sa", " h:ma", "")
-_TWENTY_FOUR = (" H:m:s", " H:m")
-LAYOUTS = tuple((f"{d}hhmmssa", f"{d}hhmma", d)[i] if d == "yyyyMMdd" else d + t for d in _DATES for i, t in enumerate(_TWELVE)) + tuple(d + t for d in _DATES if d != "yyyyMMdd" for t in _TWENTY_FOUR)
+# Date layouts in the order they are tried, each with its form, and the time layouts that may follow.
+_DATES = (("yyyy-M-d", r"\d{4}-\d{1,2}-\d{1,2}"), ("d-M-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"), ("M/d/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"), ("yyyyMMdd", r"\d{8}"), ("MMM d, yyyy", r"[A-Za-z]{3} \d{1,2}, \d{4}"), ("MMMM d, yyyy", r"[A-Za-z]{3,9} \d{1,2}, \d{4}"))
+_TWELVE = ((" h:m:sa", r" \d{1,2}:\d{1,2}:\d{1,2}[AaPp]M"), (" h:ma", r" \d{1,2}:\d{1,2}[AaPp]M"), ("", ""))
+_COMPACT = (("hhmmssa", r"\d{6}[AaPp]M"), ("hhmma", r"\d{4}[AaPp]M"), ("", ""))
+_TWENTY_FOUR = ((" H:m:s", r" \d{1,2}:\d{1,2}:\d{1,2}"), (" H:m", r" \d{1,2}:\d{1,2}"))
+LAYOUTS = tuple((d + t, f + g) for d, f in _DATES for t, g in (_COMPACT if d == "yyyyMMdd" else _TWELVE)) + tuple((d + t, f + g) for d, f in _DATES if d != "yyyyMMdd" for t, g in _TWENTY_FOUR)
 
 
 def parse_datetime(x: Col) -> Column:
-    """The time that a text in one of 28 layouts names, null for others. Months by English names; am and pm in either case; fields may lack leading zeros."""
+    """The time that a text in one of 28 layouts names, null for others. Months by English names; am and pm in either case; fields may lack leading zeros. Only layouts whose form the text has are tried."""
     x = F.replace(F.replace(_c(x), F.lit("am"), F.lit("AM")), F.lit("pm"), F.lit("PM"))
-    tried = [F.try_to_timestamp(x, F.lit(layout)).cast("timestamp_ntz") for layout in LAYOUTS]
-    return F.coalesce(*tried)
+    return F.coalesce(*[F.when(x.rlike(f"^{form}$"), F.try_to_timestamp(x, F.lit(layout)).cast("timestamp_ntz")) for layout, form in LAYOUTS])
 
 
 def sentence_start(x: Col) -> Column:

@@ -42,7 +42,7 @@ def markers(df: DataFrame, key: str, text: str, *, strict: bool = False) -> Data
     before = F.lag("gap").over(w)
     size = F.length("gap") + F.length("match")
     # the beginning of the line a marker stands in: the rest of the last gap with a line break, or of the text's first
-    tail = F.when(F.col("gap").contains("\n") | (F.col("i") == 0), F.regexp_extract("gap", "[^\\n]*\\z", 0))
+    tail = F.when(F.col("gap").contains("\n") | (F.col("i") == 0), F.substring_index("gap", "\n", -1))
     line = F.last(tail, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     placed = each.select("key", "i", "gap", "match", before.alias("before"), line.alias("line"), F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("start_char"))
     head = F.lower(F.regexp_replace("line", f"^{tx.SPACE}+", ""))

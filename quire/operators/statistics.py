@@ -4,7 +4,7 @@ Sums and moments are ordinary aggregates: partial sums in each task, one row a g
 (median, quantiles, Gini, k smallest) goes through ``ranked``, which never sorts a group in one task.
 
 Nulls are left out of every statistic; groups without values have no row; a ratio whose divisor is 0 is null (Gini: 0);
-NaN is a value like any other.
+NaN is a value like any other. Rows of a null group are left out where order or a group's totals are needed.
 """
 
 from __future__ import annotations
@@ -35,16 +35,15 @@ def _with(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
 # ---- order
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, pieces: int = 256) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, x, n (rows of this value), before (rows of smaller ones), total: every distinct value of a group with its rank.
 
-    Values are counted first; then each group is cut into pieces at approximate quantiles of its values, ranks are taken
-    within pieces, and the sizes of the pieces before are added. A task sorts one piece.
+    Values are counted first and range-partitioned by group and value, which cuts large groups into pieces; ranks are
+    taken within pieces, and the sizes of a group's pieces before are added. A task sorts one piece. The pieces are
+    written out once, as both steps must see the same.
     """
     counts = _values(df, keys, value).groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    steps = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    borders = counts.groupBy(*keys).agg(F.percentile_approx("x", steps, F.lit(pieces * 10)).alias("borders"))
-    placed = (counts.join(borders, keys) if keys else counts.crossJoin(borders)).select(*keys, "x", "n", F.size(F.filter("borders", lambda b: b < F.col("x"))).alias("piece"))
+    placed = cut(counts.repartitionByRange(*keys, "x").withColumn("piece", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "piece").agg(F.sum("n").alias("size"))
     earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "piece", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy(*keys)).alias("total"))
