@@ -32,8 +32,9 @@ M, EF = 10, 12
 OPEN = 3
 #: A level of at most SCAN vectors is scanned whole for the ENTRIES best to go down from.
 SCAN, ENTRIES = 2048, 4
-#: The exact search: shards of this size, and as many of the nearest.
-CELL, CELL_PROBES = 2048, 16
+#: The exact search: shards of CELL vectors, growing with the collection up to CELL_MOST so that the shards visited
+#: stay the same share of it, and as many of the nearest.
+CELL, CELL_MOST, CELL_PROBES = 2048, 32_768, 16
 
 
 # ---- the graph of one shard
@@ -277,6 +278,8 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
     vectors = usable(df, key, vector, length)
     count = vectors.count()
     spark = df.sparkSession
+    if not graph:
+        shard = max(shard, min(CELL_MOST, math.ceil(count / 64)))
     if count == 0:
         return spark.createDataFrame([], "key string, neighbour string, similarity float")
     taken = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow()
