@@ -132,6 +132,8 @@ class Restorer:
         import zstandard
 
         self.m = model
+        # letters of the sample, in either case
+        model.letters = {c: 1 for k in model.letters for c in (k.lower(), k.upper()) if len(c) == 1} | model.letters
         self.known = set(model.letters)
         self.compressors = {lang: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for lang, d in model.dictionaries.items()}
         self.latin = {x: _ToLatin(x) for x in READ_AS}

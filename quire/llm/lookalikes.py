@@ -77,8 +77,7 @@ def form_sql(source: str = "passages") -> str:
         many = f"replace({many}, {_q(c)}, {_q(p)})"
     word = f"""CASE
         WHEN NOT regexp_matches(w, '[{OTHER}]') OR NOT regexp_matches(w, '\\p{{Latin}}') THEN w
-        WHEN NOT regexp_matches(translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)}), '[{OTHER}]')
-             AND length(regexp_replace(w, '[{OTHER}]', '', 'g')) * 2 >= length(w) THEN translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)})
+        WHEN NOT regexp_matches(translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)}), '[{OTHER}]') THEN translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)})
         WHEN regexp_matches(w, '\\p{{Cyrillic}}') AND NOT regexp_matches(translate(w, {_q(LATIN_C)}, {_q(TO_C)}), '\\p{{Latin}}') THEN translate(w, {_q(LATIN_C)}, {_q(TO_C)})
         WHEN regexp_matches(w, '\\p{{Greek}}') AND NOT regexp_matches(translate(w, {_q(LATIN_G)}, {_q(TO_G)}), '\\p{{Latin}}') THEN translate(w, {_q(LATIN_G)}, {_q(TO_G)})
         ELSE translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)}) END"""
@@ -153,7 +152,7 @@ def plain_form(word: str) -> str:
     scripts = [s for c in w if (s := _script(c))]
     if len(set(scripts)) < 2:
         return w
-    for s in sorted(set(scripts), key=lambda s: (-scripts.count(s), s != "L")):
+    for s in sorted(set(scripts), key=lambda s: (s != "L", -scripts.count(s))):
         out = w.translate(_TO[s])
         if len({t for c in out if (t := _script(c))}) == 1:
             return out
