@@ -9,7 +9,8 @@ is decisive among the candidates that are not themselves spellings of one name.
 1. Mentions are counted by (group, spelling), within tasks first.
 2. Spellings and candidates meet by keys they share (words with one letter left out, initials), not all with all.
 3. Full forms are linked first, each to a higher ranked one, and the links followed to their roots by doubling;
-   abbreviated forms are then judged against the roots alone, whose counts now include their spellings.
+   abbreviated forms are then judged against the roots alone, whose counts now include their spellings. Abbreviated
+   forms that fit no root are one if their words are the same.
 
 No step gathers a group in one task; what grows with a group is the number of its distinct spellings.
 
@@ -114,10 +115,23 @@ def typo(a: str, b: str) -> float | None:
     return None
 
 
+def bare(raw: str) -> str:
+    """A word as it is typed without the letters that are not ASCII."""
+    return "".join(c for c in raw if c < "\x80")
+
+
+def _bare_too(cost, a: str, b: str, raw: str) -> float | None:
+    """cost(a, b), or that of b without its special letters where this is less."""
+    best = cost(a, b)
+    if not raw.isascii() and len(a) > 1 and (t := cost(a, bare(raw))) is not None and (best is None or t + COST["read"] < best):
+        best = t + COST["read"]
+    return best
+
+
 class Name:
     """What a spelling says."""
 
-    __slots__ = ("accents", "comma", "dotted", "kind", "letters", "org", "regular", "text", "titles", "words")
+    __slots__ = ("accents", "comma", "dotted", "kind", "letters", "org", "raw", "regular", "text", "titles", "words")
 
     def __init__(self, text: str, org: bool) -> None:
         self.text, self.org = text, org
@@ -125,15 +139,15 @@ class Name:
         self.comma = "," in quoted
         words = [w for w in re.split(r"[\s,.]+" if not org else r"[\s,.]+", quoted) if w]
         self.dotted = {plain(w) for w in re.findall(r"(\w+)\.", text)}
-        low = [plain(w).strip("'’-") for w in words]
-        low = [w for w in low if w]
+        both = [(p, w.casefold().strip("'’-")) for w in words if (p := plain(w).strip("'’-"))]
         self.titles = 0
         if not org:
-            kept = [w for w in low if w not in TITLES]
-            self.titles = len(low) - len(kept) + (quoted != text)
-            low = kept
-        self.letters = "".join(w[0] for w in low if w not in MINOR)
-        self.words = [w for w in low if w not in MINOR] if org else low
+            kept = [b for b in both if b[0] not in TITLES]
+            self.titles = len(both) - len(kept) + (quoted != text)
+            both = kept
+        self.letters = "".join(w[0] for w, _ in both if w not in MINOR)
+        both = [b for b in both if b[0] not in MINOR] if org else both
+        self.words, self.raw = [p for p, _ in both], [r for _, r in both]
         self.accents = plain(text) != text.casefold()
         bare = text.strip()
         cased = all(w[:1].isupper() or w in ("of", "and", "&", "the", "de", "la") for w in bare.split()) and not (bare.isupper() and len(bare) > 4)
@@ -159,10 +173,10 @@ class Name:
 
     def keys(self) -> set[str]:
         out: set[str] = set()
-        for w in self.words:
+        for w, raw in zip(self.words, self.raw, strict=True):
             if len(w) == 1:
                 continue
-            forms = {w, read_alike(w), *w.split("-")}
+            forms = {w, read_alike(w), *w.split("-"), *bare(raw).split("-")} - {""}
             for f in list(forms):
                 out.add(f)
                 if len(f) >= 4:
@@ -226,24 +240,34 @@ def person_cost(v: Name, c: Name) -> float | None:
         return None
     given, surname = c.words[0], c.words[-1]
     middle = c.words[1:-1]
+
+    def given_of(k: int) -> float | None:
+        a = v.words[k]
+        if len(a) == 1 and v.raw[k] != c.raw[0][:1] and a == given[0]:  # É. is not Edmund's; E. may be Étienne's
+            return None if v.raw[k] != a else COST["initial"] + COST["accent"] * 1.5
+        return _bare_too(_given, a, given, c.raw[0])
+
+    def surname_of(k: int) -> float | None:
+        return _bare_too(_surname, v.words[k], surname, c.raw[-1])
+
     best: float | None = None
     n = len(v.words)
     if n == 1:
         w = v.words[0]
-        options = [x + y for x, y in ((_surname(w, surname), COST["surname"]), (_given(w, given), COST["given"])) if x is not None and len(w) > 1]
-        if v.titles and (s := _surname(w, surname)) is not None and len(w) > 1:
+        options = [x + y for x, y in ((surname_of(0), COST["surname"]), (given_of(0), COST["given"])) if x is not None and len(w) > 1]
+        if v.titles and (s := surname_of(0)) is not None and len(w) > 1:
             options.append(s + COST["surname"] - 1)
         return min(options) + _style(v, c) if options else None
-    for i, a in enumerate(v.words):
-        g = _given(a, given)
+    for i in range(n):
+        g = given_of(i)
         if g is None:
             continue
-        for j, b in enumerate(v.words):
-            if i == j or (s := _surname(b, surname)) is None:
+        for j in range(n):
+            if i == j or (s := surname_of(j)) is None:
                 continue
             rest = [w for k, w in enumerate(v.words) if k not in (i, j)]
             cost = g + s + (COST["order"] if j < i and not v.comma else 0)
-            cost += 2 * COST["order"] * sum(k < i and k != j for k in range(n))  # a middle name does not come first
+            cost += 4 * COST["order"] * sum(k < i and k != j for k in range(n))  # a middle name does not come first
             for w in rest:
                 near = [t for m in middle if (t := _given(w, m)) is not None]
                 cost += min(near) if near else COST["middle"]
@@ -272,11 +296,11 @@ def org_cost(v: Name, c: Name) -> float | None:
         return COST["acronym"] if len(v.letters) >= 2 and v.letters == c.letters else None
     if not v.words:
         return None
-    free = list(c.words)
+    free, raws = list(c.words), list(c.raw)
     cost = 0.0
     strong = False
     for w in v.words:
-        options = [(t, i) for i, b in enumerate(free) if (t := _org_word(w, b, w in v.dotted)) is not None]
+        options = [(t, i) for i, b in enumerate(free) if (t := _bare_too(lambda p, q, d=w in v.dotted: _org_word(p, q, d), w, b, raws[i])) is not None]
         if not options:
             # the last word may be repeated as an abbreviation
             if w in v.dotted and c.words[-1].startswith(w):
@@ -287,6 +311,7 @@ def org_cost(v: Name, c: Name) -> float | None:
         strong |= len(w) >= 4 and free[i] not in ORG_KINDS and t <= COST["edit"] * 2
         cost += t
         free.pop(i)
+        raws.pop(i)
     if len(v.words) < 2 or not strong and free:
         return None
     return cost + COST["missing"] * len(free) + _style(v, c)
@@ -357,8 +382,9 @@ def mention_counts(chunk_analyses: DataFrame, block_analyses: DataFrame) -> Data
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [name(s, o) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        more = [pa.array([x.kind for x in names]), pa.array([x.regular and x.kind == "full" for x in names]), pa.array([sorted(x.keys()) if x.kind != "nobody" else [] for x in names], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *more], names=["grp", "spelling", "org", "n", "kind", "regular", "keys"])
+        same = [x.letters if x.kind == "acronym" else " ".join(sorted(x.words)) if x.kind != "nobody" else None for x in names]
+        more = [pa.array(same, pa.string()), pa.array([x.kind for x in names]), pa.array([x.regular and x.kind == "full" for x in names]), pa.array([sorted(x.keys()) if x.kind != "nobody" else [] for x in names], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *more], names=["grp", "spelling", "org", "n", "same", "kind", "regular", "keys"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +422,7 @@ def _roots(links: DataFrame) -> DataFrame:
 
 def link_names(counts: DataFrame) -> DataFrame:
     """grp, spelling, org, n, entity: the canonical spelling of each spelling's entity, which is its own where it is linked to nothing."""
-    known = cut(counts.mapInArrow(_features, "grp string, spelling string, org boolean, n bigint, kind string, regular boolean, keys array<string>"))
+    known = cut(counts.mapInArrow(_features, "grp string, spelling string, org boolean, n bigint, same string, kind string, regular boolean, keys array<string>"))
     full = known.where("kind = 'full'")
     first = _roots(_attach(full, full, higher=True))
     merged = full.join(first, ["grp", "spelling"], "left").withColumn("entity", F.coalesce("canonical", "spelling"))
@@ -404,7 +430,12 @@ def link_names(counts: DataFrame) -> DataFrame:
     heads = full.join(weight, ["grp", "spelling"]).select("grp", "spelling", "org", F.col("total").alias("n"), "regular", "keys")
     second = _attach(known.where("kind in ('short', 'acronym')"), heads, higher=False)
     links = first.unionByName(second)
-    return known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", F.coalesce("canonical", "spelling").alias("entity"))
+    linked = known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", "same", "kind", F.coalesce("canonical", "spelling").alias("entity"))
+    # abbreviated forms of no known name: those of the same words are one
+    alone = linked.where("kind in ('short', 'acronym') and entity = spelling and same is not null and same <> ''")
+    heads = alone.groupBy("grp", "org", "kind", "same").agg(F.max_by("spelling", F.struct("n", "spelling")).alias("head"), F.count("*").alias("forms")).where("forms > 1")
+    third = alone.join(heads, ["grp", "org", "kind", "same"]).select("grp", "spelling", "head")
+    return linked.join(third, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", F.coalesce("head", "entity").alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
