@@ -424,7 +424,7 @@ def link_names(counts: DataFrame) -> DataFrame:
     """grp, spelling, org, n, entity: the canonical spelling of each spelling's entity, which is its own where it is linked to nothing."""
     known = cut(counts.mapInArrow(_features, "grp string, spelling string, org boolean, n bigint, same string, kind string, regular boolean, keys array<string>"))
     full = known.where("kind = 'full'")
-    first = _roots(_attach(full, full, higher=True))
+    first = _roots(cut(_attach(full, full, higher=True)))
     merged = full.join(first, ["grp", "spelling"], "left").withColumn("entity", F.coalesce("canonical", "spelling"))
     weight = merged.groupBy("grp", F.col("entity").alias("spelling")).agg(F.sum("n").alias("total"))
     heads = full.join(weight, ["grp", "spelling"]).select("grp", "spelling", "org", F.col("total").alias("n"), "regular", "keys")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import analysis_json as aj
+from quire.plans.session import cut
 
 RUN_CODES = 1 << 21
 _RUN = pa.schema([("grp", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
@@ -81,8 +82,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pair_counts(records: DataFrame, *, least: int = 1) -> DataFrame:
     """grp, a, b, n_ab, n_a, n_b, n, lift, odds_ratio of pairs that stand together at least ``least`` times; a < b."""
-    counts = records.select("grp", "items").where("grp is not null and items is not null").mapInArrow(_runs, _RUN_SCHEMA).groupBy("grp", "a", "b").agg(F.sum("n").alias("n"))
-    # one pass over the sorted counts serves the three levels: a group's rows come back with its totals
+    runs = records.select("grp", "items").where("grp is not null and items is not null").mapInArrow(_runs, _RUN_SCHEMA)
+    # written once, as pairs, both members' counts and the groups' are read from it
+    counts = cut(runs.groupBy("grp", "a", "b").agg(F.sum("n").alias("n")))
     pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= least)).select("grp", "a", "b", F.col("n").alias("n_ab"))
     single = counts.where(F.col("a").isNotNull() & F.col("b").isNull() & (F.col("n") >= least))
     total = counts.where(F.col("a").isNull()).select("grp", F.col("n"))
