@@ -430,7 +430,7 @@ def link_names(counts: DataFrame) -> DataFrame:
     heads = full.join(weight, ["grp", "spelling"]).select("grp", "spelling", "org", F.col("total").alias("n"), "regular", "keys")
     second = _attach(known.where("kind in ('short', 'acronym')"), heads, higher=False)
     links = first.unionByName(second)
-    linked = known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", "same", "kind", F.coalesce("canonical", "spelling").alias("entity"))
+    linked = cut(known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", "same", "kind", F.coalesce("canonical", "spelling").alias("entity")))
     # abbreviated forms of no known name: those of the same words are one
     alone = linked.where("kind in ('short', 'acronym') and entity = spelling and same is not null and same <> ''")
     heads = alone.groupBy("grp", "org", "kind", "same").agg(F.max_by("spelling", F.struct("n", "spelling")).alias("head"), F.count("*").alias("forms")).where("forms > 1")
