@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import analyses as an
+from quire.operators import answering
 from quire.operators import graph as g
 from quire.operators import library as lib
 from quire.operators import retrieval as rt
@@ -226,6 +227,16 @@ def search_context(spark, d):
     return rows.select("q_id", F.array_join(F.transform("c", lambda x: x["line"]), "\n").alias("context"))
 
 
+@_query("search_answers")
+def search_answers(spark, d):
+    """A question for each label, with its mean vector, answered from the chunks by an offline provider."""
+    chunks = lib.once(table(spark, d, "chunks"), ["chunk_id"], "ingested_at", "row_id")
+    ids = chunks.select("chunk_id").join(table(spark, d, "embeddings_dict").select("chunk_id").distinct(), "chunk_id")
+    vectors = table(spark, d, "embeddings_dict").groupBy("chunk_id").agg(F.first("vector_values", True).alias("vector")).join(ids, "chunk_id").where("size(vector) = 64")
+    centres = _centres(spark, d).select(F.col("q_id"), F.lit("library").alias("conversation"), F.col("q_id").alias("turn"), F.concat(F.lit("What is said of topic "), F.col("q_id").cast("string"), F.lit("?")).alias("question"), "vector")
+    return answering.answer(centres, vectors, chunks, an.offline_block)
+
+
 def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings_dict").select("row_id", "chunk_id", F.col("vector_values").alias("vector"), "embedded_at")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators.chunking import reconstruct, token_windows
 from quire.operators.statistics import ranked
 
 DOCUMENT_COLUMNS = ("document_id", "doc_name", "subject", "date_added", "start_chunk_id", "end_chunk_id", "chunk_overlap", "file_path")
@@ -65,6 +66,18 @@ def add_documents(documents: DataFrame, chunks: DataFrame, new_documents: DataFr
     return documents.select(*DOCUMENT_COLUMNS).unionByName(added), chunks.select("chunk_id", "chunk_num", "document_id", "text").unionByName(rows)
 
 
+def rebuild(documents: DataFrame, chunks: DataFrame, *, size: int = 400, overlap: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Both tables with every document rebuilt from its chunks and chunked anew, in windows of words."""
+    laps = documents.select("document_id", "chunk_overlap", "start_chunk_id")
+    texts = reconstruct(chunks.join(laps, "document_id"), "document_id", "chunk_num", "text", "chunk_overlap")
+    windows = token_windows(texts, "key", "text", size=size, overlap=overlap).withColumnRenamed("key", "document_id")
+    ordered = windows.join(documents.select("document_id", F.coalesce("start_chunk_id", F.lit(0)).alias("doc_order")), "document_id")
+    numbered = number_chunks(ordered, "doc_order", "chunk_index")
+    rows = numbered.select(tx.stable_id("document_id", "chunk_index").alias("chunk_id"), "chunk_num", "document_id", "text")
+    kept = documents.drop("start_chunk_id", "end_chunk_id", "chunk_overlap").withColumn("chunk_overlap", F.lit(overlap))
+    return kept.join(chunk_bounds(rows), "document_id", "left").select(*DOCUMENT_COLUMNS), rows
+
+
 def listing(documents: DataFrame) -> DataFrame:
     """line: name - subject - date of every document."""
     date = F.coalesce(F.date_format("date_added", "yyyy-MM-dd HH:mm:ss"), F.lit("None"))

@@ -151,3 +151,38 @@ def test_tensors(spark):
     assert all(b - a >= 9 for a, b in zip(starts, starts[1:], strict=False)) and starts[-1] <= 91
     with pytest.raises(ValueError, match="fit"):
         t.block_starts(spark, 10, 6, 2)
+
+
+def _echo(prompt: str) -> str:
+    return json.dumps({"said": prompt})
+
+
+def test_answers(spark):
+    from quire.operators import answering
+
+    chunks = spark.createDataFrame([("c1", 1, "d", "one"), ("c2", 2, "d", "two"), ("c3", 3, "e", "about whales"), ("c4", 4, None, None)], "chunk_id string, chunk_num int, document_id string, text string")
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.9, 0.1]), ("c3", [0.0, 1.0]), ("c4", [0.5, 0.5])], "chunk_id string, vector array<float>")
+    questions = spark.createDataFrame([(1, "x", 0, "first?", [1.0, 0.0]), (2, "x", 1, "WHALES", None), (3, "x", 2, "nothing", [0.0, 0.0])], "q_id int, conversation string, turn int, question string, vector array<float>")
+    rows = {r.q_id: r for r in answering.answer(questions, vectors, chunks, _echo, k=2).collect()}
+    assert rows["1"].prompt == "Document d:\n1: one\n2: two\n\nfirst?" and rows["1"].found_by == "similarity"
+    assert rows["2"].prompt == "first?\n\nabout whales\n\nWHALES" and rows["2"].found_by == "text"
+    assert rows["3"].prompt == "first?\nWHALES\n\nnothing" and rows["3"].found_by is None
+    assert json.loads(rows["1"].answer)["said"] == rows["1"].prompt
+
+
+def test_functions_in_sql(spark):
+    from quire.functions.registry import measure, register
+
+    assert "quire_outline" in register(spark)
+    r = spark.sql("""SELECT quire_nested_size('{"k": 69}') AS s, quire_nested_kind('[[1,2]]') AS k, quire_find('{"a": ["x", "yz"]}', 'z') AS f, quire_find('bad', 'z') AS n""").collect()[0]
+    assert (r.s, r.k, r.f, r.n) == (6, "list 1x2", "a,1", None)
+    assert [x.line for x in spark.sql("""SELECT * FROM quire_outline('{"a": {"b": 1}}') ORDER BY ord""").collect()] == ["a", "b: 1"]
+    assert measure(lambda: None) < 1
+
+
+def test_rebuild(spark):
+    docs = spark.createDataFrame([("a", "A", None, None, 0, 1, 2, None), ("b", "B", None, None, 2, 2, 0, None)], "document_id string, doc_name string, subject string, date_added timestamp_ntz, start_chunk_id bigint, end_chunk_id bigint, chunk_overlap int, file_path string")
+    chunks = spark.createDataFrame([("1", 0, "a", "one two "), ("2", 1, "a", "o three"), ("3", 2, "b", "four")], "chunk_id string, chunk_num bigint, document_id string, text string")
+    d, c = lib.rebuild(docs, chunks, size=2, overlap=1)
+    assert [(r.document_id, r.text) for r in c.orderBy("chunk_num").collect()] == [("a", "one two"), ("a", "two three"), ("b", "four")]
+    assert {(r.document_id, r.start_chunk_id, r.end_chunk_id, r.chunk_overlap) for r in d.collect()} == {("a", 0, 1, 1), ("b", 2, 2, 1)}
