@@ -2,14 +2,16 @@
 
 The vectors are divided into shards, each with a hierarchical small-world graph of its own: a level is drawn for every
 vector (1/M of them reach the next one), the graph of a level is a flat array of neighbour numbers, and a search goes
-down from the first level that is small enough to scan, keeping a beam of the best vectors met and opening the neighbours of the best unopened ones until
-none is left in the beam. Vectors are inserted in batches that double the graph, so that all searches of a batch run
+down from the first level that is small enough to scan, keeping a beam of the best vectors met and opening the
+neighbours of the best unopened ones until none is left in the beam. Vectors are inserted in batches that double the graph, so that all searches of a batch run
 in lockstep as array operations; neighbours are chosen for diversity, with links back.
 
 Shards are cells around centres fitted on a bounded sample (``SAMPLE`` vectors by hash); every vector is indexed in the
 shard of its nearest centre. A cell that the sample shows to hold more than ``SHARD`` vectors is divided by hash into
 several shards. Each vector is then searched in all shards of its ``probes`` nearest centres and the results merged.
-Vectors of a shard find each other while it is built; only guests are searched for.
+Vectors of a shard find each other while it is built; only guests are searched for. Where the sample shows more than
+``GUESTS`` guests for a shard, they are divided by hash, and each division gets the shard's vectors: no task holds more
+than a shard and a division, however many vectors lie near one centre.
 
 Similarity is cosine. Defined results: vectors that are null, of another length, all zero or not finite are not usable
 and have no neighbours; a repeated key counts once; ties are by key; a vector is not its own neighbour, but another key
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SHARD, PROBES = 20_000, 16_384, 3
+SAMPLE, SHARD, PROBES, GUESTS = 20_000, 16_384, 3, 131_072
 M, EF = 10, 12
 #: Unopened vectors of a beam opened at once.
 OPEN = 3
@@ -269,7 +271,7 @@ def usable(df: DataFrame, key: str, vector: str, length: int) -> DataFrame:
     return rows.where((F.size("vec") == length) & finite & F.exists("vec", lambda v: v != 0))
 
 
-def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_values", length: int = 64, k: int = 10, probes: int = PROBES, shard: int = SHARD, ef: int = EF, least: float = -2.0, sample: int = SAMPLE, graph: bool = True) -> DataFrame:
+def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_values", length: int = 64, k: int = 10, probes: int = PROBES, shard: int = SHARD, ef: int = EF, least: float = -2.0, sample: int = SAMPLE, guests: int = GUESTS, graph: bool = True) -> DataFrame:
     """key, neighbour, similarity: the k most similar other keys of every usable vector, those of at least ``least``.
 
     With ``graph`` by small-world graphs; without it by comparing with every vector of the shards visited, which finds
@@ -286,10 +288,15 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
     fitted = unit(taken.column("vec").combine_chunks(), length)
     cells = min(math.ceil(len(fitted) / 8), max(1, math.ceil(count / shard * 2)))
     middle = centres(fitted, cells)
-    held = np.bincount(np.argmax(fitted @ middle.T, axis=1), minlength=cells) / len(fitted) * count
-    parts = np.maximum(1, np.ceil(held / shard)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(parts)])
     visits = min(probes, cells)
+    order = np.argsort(-(fitted @ middle.T), axis=1)[:, :visits]
+    held = np.bincount(order[:, 0], minlength=cells) / len(fitted) * count
+    visited = np.bincount(order.ravel(), minlength=cells) / len(fitted) * count
+    parts = np.maximum(1, np.ceil(held / shard)).astype(np.int64)
+    divisions = np.maximum(1, np.ceil((visited - held / parts) / guests)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(parts * divisions)])
+
+    lead = {int(first[c] + p * divisions[c]) for c in range(cells) for p in range(int(parts[c]))}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,26 +306,37 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
             near = np.argsort(-(x @ middle.T), axis=1)[:, :visits]
             spread = batch.column(2).to_numpy()
             rows, shards, home = [], [], []
+
+            def send(at: np.ndarray, to: np.ndarray, own: bool) -> None:
+                rows.append(at)
+                shards.append(to)
+                home.append(np.full(len(at), own))
+
             for j in range(visits):
                 cell = near[:, j]
                 for p in range(int(parts[cell].max())):
                     at = np.flatnonzero(parts[cell] > p)
-                    rows.append(at)
-                    shards.append(first[cell[at]] + p)
-                    home.append((j == 0) & (spread[at] % parts[cell[at]] == p))
+                    c = cell[at]
+                    lives = (j == 0) & (spread[at] % parts[c] == p)
+                    division = spread[at] // parts[c] % divisions[c]
+                    send(at[~lives], (first[c] + p * divisions[c] + division)[~lives], False)
+                    for d in range(int(divisions[c[lives]].max()) if lives.any() else 0):
+                        each = lives & (divisions[c] > d)
+                        send(at[each], (first[c] + p * divisions[c] + d)[each], True)
             rows = np.concatenate(rows)
             for low in range(0, len(rows), 50_000):
                 take = pa.array(rows[low : low + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)[low : low + 50_000].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(home)[low : low + 50_000])], names=["shard", "key", "vec", "home"])
 
-    def scan(keys: pa.Array, x: np.ndarray, own: np.ndarray) -> pa.Table:
-        home, out = x[own], []
-        for low in range(0, len(x), 1024):
-            sims = x[low : low + 1024] @ home.T
+    def scan(keys: pa.Array, x: np.ndarray, own: np.ndarray, asking: np.ndarray) -> pa.Table:
+        home, out = x[own], [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        for low in range(0, len(asking), 1024):
+            these = asking[low : low + 1024]
+            sims = x[these] @ home.T
             width = min(k + 1, len(own))  # one may be the vector itself
             part = np.argpartition(sims, len(own) - width, axis=1)[:, -width:]
             best = np.take_along_axis(sims, part, 1)
-            src = np.repeat(np.arange(low, low + len(sims)), width)
+            src = np.repeat(these, width)
             good = (best.ravel() >= least) & (src != own[part.ravel()])
             out.append((src[good], own[part.ravel()[good]], best.ravel()[good]))
         src, dst, sims = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -331,17 +349,18 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
         keys = rows.column("key").combine_chunks()
         x = unit(rows.column("vec").combine_chunks(), length)
         home = rows.column("home").to_numpy()
-        own, guests = np.flatnonzero(home), np.flatnonzero(~home)
+        own, others = np.flatnonzero(home), np.flatnonzero(~home)
+        leads = int(rows.column("shard")[0].as_py()) in lead  # the division that gives the shard's own neighbours
         if not len(own):
             return pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float32())})
         if not graph:
-            return scan(keys, x, own)
+            return scan(keys, x, own, np.arange(len(x)) if leads else others)
         index = Graph(x[own], ef=ef, keep=k)
-        ids, sims = index.own()
-        src = np.repeat(own, ids.shape[1])
-        if len(guests):
-            more, scores = index.query(x[guests], k, ef)
-            src, ids, sims = np.concatenate([src, np.repeat(guests, more.shape[1])]), np.concatenate([ids.ravel(), more.ravel()]), np.concatenate([sims.ravel(), scores.ravel()])
+        ids, sims = index.own() if leads else (np.empty((0, k), np.int32), np.empty((0, k), np.float32))
+        src = np.repeat(own if leads else own[:0], k)
+        if len(others):
+            more, scores = index.query(x[others], k, ef)
+            src, ids, sims = np.concatenate([src, np.repeat(others, more.shape[1])]), np.concatenate([ids.ravel(), more.ravel()]), np.concatenate([sims.ravel(), scores.ravel()])
         ids, sims = ids.ravel(), sims.ravel()
         good = (ids >= 0) & (sims >= least)
         return pa.table({"key": keys.take(pa.array(src[good])), "neighbour": keys.take(pa.array(own[ids[good]])), "similarity": pa.array(sims[good].astype(np.float32))})

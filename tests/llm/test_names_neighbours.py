@@ -101,10 +101,16 @@ def test_sharded_search(spark):
     got = _near(spark, rows + odd, least=0.85, shard=400, probes=3)
     pairs = {(a, b) for a, bs in got.items() for b in bs}
     assert pairs <= want and len({tuple(sorted(p)) for p in pairs}) / len({tuple(sorted(p)) for p in want}) > 0.95
+    divided = _near(spark, rows + odd, least=0.85, shard=150, probes=3, guests=100)
+    pairs = {tuple(sorted((a, b))) for a, bs in divided.items() for b in bs}
+    assert pairs <= want and len(pairs) / len({tuple(sorted(p)) for p in want}) > 0.95
+    parted = _near(spark, rows + odd, graph=False, shard=150, probes=99, guests=70)
+    assert set(parted) == set(names) and all(len(v) == 10 for v in parted.values())
     exact = _near(spark, rows + odd, graph=False, shard=400, probes=8)
     assert set(exact) == set(names) and all(len(v) == 10 for v in exact.values())
     top = np.argsort(-true, axis=1)[:, :10]
     assert np.mean([len({names[j] for j in top[i]} & set(exact[names[i]])) / 10 for i in range(len(names))]) > 0.9
+    assert all({names[j] for j in top[i]} == set(parted[names[i]]) for i in range(len(names)) if i not in (3, len(names) - 1))
 
 
 def test_few_vectors(spark):
