@@ -357,8 +357,14 @@ class Restorer:
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", most: int = SAMPLE_TEXTS) -> Model:
     """The model of a bounded sample: of each language with a two-letter code, ``most`` texts by hash, at most SAMPLE_CHARS long. Only they reach the driver."""
     usable = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").rlike("^[a-z]{2}$") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 40))
+    # a share of each language by hash first, twice as many as are wanted, so that few rows go to the task that ranks them
+    shares = {r.lang: min(1 << 30, int((1 << 30) * 2 * most / r.n) + 1) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # two letters: at most 676
+    if not shares:
+        return Model.fit([])
+    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)])
+    few = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
     first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = usable.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("lang", "text")
+    sample = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("lang", "text")
     return Model.fit([(r.lang, r.text) for r in sample.collect()])
 
 

@@ -284,7 +284,10 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
         shard = max(shard, min(CELL_MOST, math.ceil(count / 64)))
     if count == 0:
         return spark.createDataFrame([], "key string, neighbour string, similarity float")
-    taken = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow()
+    # a share of the keys by hash first, half as many again as are wanted, so that few rows go to the task that takes them
+    share = min(1 << 30, math.ceil((1 << 30) * 1.5 * sample / count))
+    few = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)
+    taken = few.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow()
     fitted = unit(taken.column("vec").combine_chunks(), length)
     cells = min(math.ceil(len(fitted) / 8), max(1, math.ceil(count / shard * 2)))
     middle = centres(fitted, cells)
