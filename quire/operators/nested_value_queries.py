@@ -57,7 +57,7 @@ def tensor_reshape(spark, d):
     return t.reshape(p, "index", "value", (100_000_000, 4, 5))
 
 
-@_query("tensor_flatten", "SELECT n_regionkey * 100 + n_nationkey AS index, n_name AS value FROM nation")
+@_query("tensor_flatten", "SELECT (n_regionkey * 100 + n_nationkey)::BIGINT AS index, n_name AS value FROM nation")
 def tensor_flatten(spark, d):
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("i"), F.col("n_nationkey").alias("j"), F.col("n_name").alias("value"))
     return t.flatten(n, (5, 100))
