@@ -34,9 +34,9 @@ M, EF = 10, 12
 OPEN = 3
 #: A level of at most SCAN vectors is scanned whole for the ENTRIES best to go down from.
 SCAN, ENTRIES = 2048, 4
-#: The exact search: shards of CELL vectors, growing with the collection up to CELL_MOST so that the shards visited
-#: stay the same share of it, and as many of the nearest.
-CELL, CELL_MOST, CELL_PROBES = 2048, 32_768, 16
+#: The exact search: shards of CELL vectors, growing with the collection up to CELL_MOST, and as many of the nearest;
+#: of more cells than 128, one in CELL_SHARE, so that those visited stay the same share of the collection.
+CELL, CELL_MOST, CELL_PROBES, CELL_SHARE = 2048, 32_768, 16, 8
 
 
 # ---- the graph of one shard
@@ -275,7 +275,8 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
     """key, neighbour, similarity: the k most similar other keys of every usable vector, those of at least ``least``.
 
     With ``graph`` by small-world graphs; without it by comparing with every vector of the shards visited, which finds
-    more of the vectors that are similar to no one in particular, from smaller and more shards.
+    more of the vectors that are similar to no one in particular, from smaller and more shards; at least one cell in
+    CELL_SHARE is visited, so recall does not fall as the cells grow in number.
     """
     vectors = usable(df, key, vector, length)
     count = vectors.count()
@@ -291,7 +292,7 @@ def similar(df: DataFrame, *, key: str = "chunk_id", vector: str = "vector_value
     fitted = unit(taken.column("vec").combine_chunks(), length)
     cells = min(math.ceil(len(fitted) / 8), max(1, math.ceil(count / shard * 2)))
     middle = centres(fitted, cells)
-    visits = min(probes, cells)
+    visits = min(probes if graph else max(probes, math.ceil(cells / CELL_SHARE)), cells)
     order = np.argsort(-(fitted @ middle.T), axis=1)[:, :visits]
     held = np.bincount(order[:, 0], minlength=cells) / len(fitted) * count
     visited = np.bincount(order.ravel(), minlength=cells) / len(fitted) * count

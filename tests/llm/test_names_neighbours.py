@@ -113,6 +113,18 @@ def test_sharded_search(spark):
     assert all({names[j] for j in top[i]} == set(parted[names[i]]) for i in range(len(names)) if i not in (3, len(names) - 1))
 
 
+def test_the_exact_search_keeps_its_share_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_MOST", 16)  # as if the collection were far larger: 250 cells
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8)) @ rng.normal(size=(8, 64))
+    got = _near(spark, [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)], graph=False, shard=16, probes=4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x @ x.T
+    np.fill_diagonal(true, -2)
+    top = np.argsort(-true, axis=1)[:, :10]
+    assert np.mean([len({f"k{j:04d}" for j in top[i]} & set(got.get(f"k{i:04d}", ()))) / 10 for i in range(len(x))]) > 0.9
+
+
 def test_few_vectors(spark):
     v = np.eye(64)[0].tolist()
     assert _near(spark, [("a", v), ("b", v), ("b", v)]) == {"a": {"b": 1.0}, "b": {"a": 1.0}}
