@@ -6,8 +6,8 @@ garbled in part: a word that holds letter pairs foreign to the language sample i
 lies in the alphabets of the sample, again and again while that makes it likelier. The chains so proposed for a text
 compete by description length: the words that a chain changes are compressed before and after with zstandard, by the
 dictionary of the language that describes them best; as that counts in bytes, it is averaged with their length in the
-letter-pair code, which counts in fractions of bits. The chain's own cost is added. The shortest description wins; what
-no chain shortens stays unchanged. The rest of the text is the same in all candidates and cancels out.
+letter-pair code, which counts in fractions of bits. The chain's own cost is added. Every chain proposed competes, alone
+and with the others. The shortest description wins; what no chain shortens stays unchanged. The rest of the text is the same in all candidates and cancels out.
 
 Texts are also garbled, without being recoverable, where replacement characters, C1 controls or bytes of a sequence cut
 short are left over.
@@ -323,24 +323,30 @@ class Restorer:
         proposed = {w: p for w in set(words) if (p := self.propose(w)) is not None}
         if not proposed:
             return text, None
-        chains = [c for c, _ in Counter(proposed[w][0] for w in words if w in proposed).most_common(6)]
-        best, best_bits, best_chain = None, 0.0, None
-        candidates: list[tuple[str, dict[str, str]]] = []
-        for chain in chains:
-            candidates.append((chain, {w: d for w in set(words) if (d := self._apply(w, chain)) != w}))
-        if len(chains) > 1:
-            together: dict[str, str] = {}
-            for _, change in reversed(candidates):
-                together |= change
-            candidates.append(("|".join(chains), together))
-        for chain, change in candidates:
+        chains = [c for c, _ in Counter(proposed[w][0] for w in words if w in proposed).most_common()]
+        changes = {chain: {w: d for w in set(words) if (d := self._apply(w, chain)) != w} for chain in chains}
+
+        def shorter(some: list[str]) -> tuple[float, dict[str, str]]:
+            """Bits saved by these chains together, and their changes; of a word that several change, the commonest one's."""
+            change: dict[str, str] = {}
+            for chain in reversed(some):
+                change |= changes[chain]
             if not change:
-                continue
+                return 0.0, change
             order = [w for w in words if w in change]
             gain = (self._length(" ".join(order)) - self._length(" ".join([change[w] for w in order])) + sum(self.bits(w) - self.bits(change[w]) for w in order)) / 2
-            cost = sum(CHAIN_BITS + STEP_BITS * (c.count("+") + 1) for c in chain.split("|"))
-            if gain - cost > best_bits:
-                best, best_bits, best_chain = change, gain - cost, chain
+            return gain - sum(CHAIN_BITS + STEP_BITS * (c.count("+") + 1) for c in some), change
+
+        best, best_bits, best_chain = None, 0.0, None
+        alone = {chain: shorter([chain]) for chain in chains}
+        for chain, (bits, change) in alone.items():
+            if bits > best_bits:
+                best, best_bits, best_chain = change, bits, chain
+        # all together; where that is no shorter, those that are worth their cost
+        for some in (chains, [chain for chain in chains if alone[chain][0] > 0]):
+            if len(some) > 1 and (together := shorter(some))[0] > best_bits:
+                best, best_chain = together[1], "|".join(some)
+                break
         if best is None:
             return text, None
         parts = _PARTS.split(text)

@@ -57,6 +57,16 @@ def test_parts_are_restored_and_the_rest_stays(restorer):
     assert chain == "utf_8>cp1252" and now == f"{half[0]}. {half[1]}"
 
 
+def test_every_chain_of_a_text_is_undone(restorer):
+    steps = [("cp1252", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("koi8_r", "utf-8"), ("cp866", "utf-8"), ("cp1252", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866")]
+    parts = [" ".join([RUSSIAN] * (len(steps) - i)) for i in range(len(steps))]  # the last chain has the fewest words
+    now, chain = restorer.restore(" ".join(_garble(p, s) for p, s in zip(parts, steps, strict=True)))
+    assert len(chain.split("|")) > 6
+    a, b = now.split(), " ".join(parts).split()
+    last = len(RUSSIAN.split())
+    assert len(a) == len(b) and sum(x == y for x, y in zip(a[-3 * last :], b[-3 * last :], strict=True)) >= 0.9 * 3 * last
+
+
 @pytest.mark.parametrize("text", [FRENCH, GERMAN, RUSSIAN, JAPANESE, ENGLISH, FRENCH.upper(), "A LÃ: 527. Âge: 35.", "© 298 ¤ 673", "CAFÉ» là", "plain", "", " "])
 def test_sound_texts_stay(restorer, text):
     assert restorer.restore(text) == (text, None) and not restorer.lost(text)
