@@ -31,6 +31,13 @@ def test_people(spark):
     assert got["e", "Constance Garnera"] == {"Constance Garnera"}
 
 
+def test_short_forms_of_any_cast():
+    for short, given in (("Dave", "David"), ("Steve", "Stephen"), ("Becky", "Rebecca"), ("Nell", "Eleanor"), ("Walt", "Walter"), ("Sue", "Susan"), ("Vicky", "Victoria"), ("Bill", "William"), ("Jake", "Jacob")):
+        assert nm.channel_cost(f"{short} Garnerra", f"{given} Garnerra", False) == nm.COST["nick"]
+        assert "given:" + given.lower() in nm.name(f"{short} Garnerra", False).keys() & nm.name(f"{given} Garnerra", False).keys()
+    assert nm.channel_cost("Dave Garnerra", "Daniel Garnerra", False) is None
+
+
 def test_organisations(spark):
     names = ["University of Haxric"] * 5 + ["Ñorberg Historical Association"] * 6 + ["Vintsby Historical Association"] * 6 + ["Falknell & Sons Ltd"] * 4 + ["Saint Ruskcroft Hospital"] * 4
     odd = ["Haxric Haxr.", "Univ. of Haxric", "ÑHA", "Ñ.H.A.", "Vintsby Asso.", "Vintsby Historical Assn.", "The Vintsby Historical Association", "FSL", "Falknell Ltd.", "falknell & sons ltd", "SRH", "St. Ruscroft Hosp."]
