@@ -251,6 +251,18 @@ def _style(v: Name, c: Name) -> float:
     return cost
 
 
+def _middle(rest: list[str], middle: list[str]) -> float:
+    """Cost of the words rest for the middle names, however many: each is taken for one of them, the nearest first; those left over on either side were added, left out or changed."""
+    near = sorted((t, i, j) for i, w in enumerate(rest) for j, m in enumerate(middle) if (t := _given(w, m)) is not None)
+    cost, used, taken = 0.0, set(), set()
+    for t, i, j in near:
+        if i not in used and j not in taken:
+            cost += t
+            used.add(i)
+            taken.add(j)
+    return cost + COST["middle"] * (max(len(rest), len(middle)) - len(used))
+
+
 def person_cost(v: Name, c: Name) -> float | None:
     """Cost of v for the person whose full regular name is c."""
     if len(c.words) < 2:
@@ -285,12 +297,9 @@ def person_cost(v: Name, c: Name) -> float | None:
             rest = [w for k, w in enumerate(v.words) if k not in (i, j)]
             cost = g + s + (COST["order"] if j < i and not v.comma else 0)
             cost += 4 * COST["order"] * sum(k < i and k != j for k in range(n))  # a middle name does not come first
-            for w in rest:
-                near = [t for m in middle if (t := _given(w, m)) is not None]
-                cost += min(near) if near else COST["middle"]
-            if len(rest) > 2 or any(len(w) > 1 and w in (given, surname) for w in rest):
+            if any(len(w) > 1 and w in (given, surname) and w not in middle for w in rest):
                 continue
-            cost += COST["middle"] * max(0, len(middle) - len(rest))
+            cost += _middle(rest, middle)
             best = cost if best is None else min(best, cost)
     return None if best is None else best + _style(v, c)
 

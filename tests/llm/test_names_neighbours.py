@@ -38,6 +38,15 @@ def test_short_forms_of_any_cast():
     assert nm.channel_cost("Dave Garnerra", "Daniel Garnerra", False) is None
 
 
+def test_names_of_many_words():
+    full = "María del Carmen García López"
+    for v in ("Maria del Carmen Garcia Lopez", full.upper(), "María del Carmen Garcai López", "María C. García López", "López, María del Carmen García"):
+        assert nm.channel_cost(v, full, False) is not None, v
+    assert nm.channel_cost("Maria del Carmen Garcia Lopez", full, False) == nm.COST["accent"]
+    assert nm.channel_cost("Maria del Carmen Garcia Ruiz", full, False) is None
+    assert nm.channel_cost("Anna Ruth Ruth Lee", "Anna Ruth Lee", False) == nm.COST["middle"]
+
+
 def test_organisations(spark):
     names = ["University of Haxric"] * 5 + ["Ñorberg Historical Association"] * 6 + ["Vintsby Historical Association"] * 6 + ["Falknell & Sons Ltd"] * 4 + ["Saint Ruskcroft Hospital"] * 4
     odd = ["Haxric Haxr.", "Univ. of Haxric", "ÑHA", "Ñ.H.A.", "Vintsby Asso.", "Vintsby Historical Assn.", "The Vintsby Historical Association", "FSL", "Falknell Ltd.", "falknell & sons ltd", "SRH", "St. Ruscroft Hosp."]
