@@ -2,8 +2,8 @@
 
 A record's items are a set. Each task gives the items it meets 32-bit numbers, packs every pair of a record into one
 64-bit code, and sorts codes in memory-bounded runs; a run leaves the task run-length counted, so a pair is one row of
-a run however often it stood in it. The runs of all tasks are merged by key: Spark's exchange sorts and, where memory
-is short, spills and merges them; equal keys are then counted up. Single counts and record counts take the same way
+a run however often it stood in it. Codes are numbered anew in each run, so runs are turned back into strings and not
+merged as codes: Spark's hash aggregate, over its exchange, sums the counts of equal keys. Single counts and record counts take the same way
 as pairs with missing members. A frequent pair or a large group thus arrives pre-aggregated, one row a run.
 
 A record of m items has m(m-1)/2 pairs; that is the question asked. Records, not groups, are paired out.
