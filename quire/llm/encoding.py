@@ -3,11 +3,12 @@
 A wrong decoding is a chain of steps; each took the bytes of the text in one encoding for those of another. Undoing a
 step encodes in the wrong one and decodes in the right one. Candidates are made word by word, because a text may be
 garbled in part: a word that holds letter pairs foreign to the language sample is decoded by every step whose result
-lies in the alphabets of the sample, again and again while that makes it likelier. The chains so proposed for a text
-compete by description length: the words that a chain changes are compressed before and after with zstandard, by the
-dictionary of the language that describes them best; as that counts in bytes, it is averaged with their length in the
-letter-pair code, which counts in fractions of bits. The chain's own cost is added. Every chain proposed competes, alone
-and with the others. The shortest description wins; what no chain shortens stays unchanged. The rest of the text is the same in all candidates and cancels out.
+lies in the alphabets of the sample, again and again while that makes it likelier in a code of letter pairs. The chains
+so proposed for a text compete by description length: the whole text is compressed as it is and as each chain leaves it,
+with zstandard, by the dictionary of the language that describes it best, and the cost of the chain is added. Every
+chain proposed competes, alone and with the others. The shortest description wins; what no chain shortens stays
+unchanged. zstandard counts in whole bytes: only where two descriptions have the same number of them, which happens to
+few words in a text, the letter-pair code decides between them.
 
 Texts are also garbled, without being recoverable, where replacement characters, C1 controls or bytes of a sequence cut
 short are left over.
@@ -34,11 +35,14 @@ from pyspark.sql import functions as F
 from quire.llm.lookalikes import plain_form
 
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4000, 32_000
+#: Words remembered between texts; speed depends on it, results do not.
 MEMO_WORDS = 200_000
 #: Bits of description: of naming a chain, of each step, and of a letter outside the sample's alphabets.
 CHAIN_BITS, STEP_BITS, FOREIGN_BITS = 3, 3, 20.0
 #: Least gain in bits by which a word proposes a chain.
 WORD_GAIN = 6.0
+#: Least gain of a step by another encoding after one by UTF-8.
+LATER_GAIN = 20.0
 
 #: Encodings in which a text may have been wrongly read, and those in which it may have been written.
 READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_2", "cp1254", "cp1257")
@@ -237,8 +241,8 @@ class Restorer:
             changed |= best is not None
         return "".join(out) if changed else None
 
-    def _steps(self, w: str, later: bool) -> Iterator[tuple[str, str]]:
-        """(step, word) of every step that w admits. later: after another step, where only UTF-8 was read wrongly once more."""
+    def _steps(self, w: str) -> Iterator[tuple[str, str]]:
+        """(step, word) of every step that w admits."""
         chars, found = {c for c in w if c > "\x7f"}, False
         for x in READ_AS:
             if (d := self._utf8(w, x)) is not None:
@@ -250,13 +254,13 @@ class Restorer:
                     yield "utf_8>cp1252>lower", d.lower()
         if not found and w.isupper() and (d := self._utf8(w.lower(), "cp1252")) is not None:
             yield "utf_8>cp1252>upper", d.upper()
-        if later or sum(c.isalpha() for c in w) + len(chars - {*"–—“”‘’…«»"}) < 2:  # a lone sign is no evidence
+        if sum(c.isalpha() for c in w) + len(chars - {*"–—“”‘’…«»"}) < 2:  # a lone sign is no evidence
             return
         for name, table, keys in self.single:
             if chars <= keys:
                 yield name, "".join([table.get(c, c) for c in w])
         if len(w) > 3 and any(not _wide(c) for c in chars):
-            for x in READ_AS[:7]:
+            for x in READ_AS:
                 for y in WRITTEN_MULTI:
                     if (d := self._multi(w, x, y)) is not None:
                         yield f"{y}>{x}", d
@@ -269,18 +273,17 @@ class Restorer:
                 yield f"utf_8>{x}", d
 
     def propose(self, w: str) -> tuple[str, str] | None:
-        """(chain, restored word) of the likeliest chain, or None."""
+        """(chain, restored word) of the likeliest chain, or None. What is remembered is forgotten between texts only."""
         if w in self.memo:
             return self.memo[w]
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
         out = None
         if self.odd(w) and ((plain := plain_form(w)) == w or self.odd(plain)):  # else look-alike letters explain it
             chain, now, cost = [], w, self.bits(w)
             first = cost
-            for _ in range(4):
-                # encodings named first are the likelier ones
-                best = min(((self.bits(d) + k * 0.02, name, d) for k, (name, d) in enumerate(self._steps(now, bool(chain))) if d != now), default=None)
+            while True:  # every step saves bits, so the chain ends
+                # encodings named first are the likelier ones; after UTF-8, other encodings must save more, as what is left may be a rare word
+                options = [(self.bits(d) + k * 0.02, name, d) for k, (name, d) in enumerate(self._steps(now)) if d != now]
+                best = min((x for x in options if not chain or x[1].startswith("utf_8") or x[0] <= cost - LATER_GAIN and not self.odd(x[2])), default=None)
                 if best is None or best[0] >= cost - 1:
                     break
                 cost, now = best[0], best[2]
@@ -292,9 +295,8 @@ class Restorer:
         self.memo[w] = out
         return out
 
-    def _apply(self, w: str, chain: str) -> str:
-        """w restored by a given chain where that makes it likelier; for single bytes also a part of it."""
-        own = self.memo.get(w)
+    def _apply(self, w: str, chain: str, own: tuple[str, str] | None) -> str:
+        """w restored by a given chain where that makes it likelier; for single bytes also a part of it. own: what w itself proposes."""
         if own is not None:
             return own[1] if own[0] == chain else w
         table = next((t for n, t, _ in self.single if n == chain), None)
@@ -320,11 +322,15 @@ class Restorer:
         words = [w for w in _SPLIT.split(text) if not w.isascii()]
         if not words:
             return text, None
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo.clear()
         proposed = {w: p for w in set(words) if (p := self.propose(w)) is not None}
         if not proposed:
             return text, None
         chains = [c for c, _ in Counter(proposed[w][0] for w in words if w in proposed).most_common()]
-        changes = {chain: {w: d for w in set(words) if (d := self._apply(w, chain)) != w} for chain in chains}
+        changes = {chain: {w: d for w in set(words) if (d := self._apply(w, chain, proposed.get(w))) != w} for chain in chains}
+
+        parts, unchanged = _PARTS.split(text), self._length(text)
 
         def shorter(some: list[str]) -> tuple[float, dict[str, str]]:
             """Bits saved by these chains together, and their changes; of a word that several change, the commonest one's."""
@@ -333,8 +339,9 @@ class Restorer:
                 change |= changes[chain]
             if not change:
                 return 0.0, change
-            order = [w for w in words if w in change]
-            gain = (self._length(" ".join(order)) - self._length(" ".join([change[w] for w in order])) + sum(self.bits(w) - self.bits(change[w]) for w in order)) / 2
+            gain = unchanged - self._length("".join([change.get(p, p) for p in parts]))
+            if not gain:  # the same number of bytes
+                gain = sum(self.bits(w) - self.bits(change[w]) for w in words if w in change)
             return gain - sum(CHAIN_BITS + STEP_BITS * (c.count("+") + 1) for c in some), change
 
         best, best_bits, best_chain = None, 0.0, None
@@ -349,7 +356,6 @@ class Restorer:
                 break
         if best is None:
             return text, None
-        parts = _PARTS.split(text)
         return "".join([best.get(p, p) for p in parts]), best_chain
 
     def lost(self, text: str) -> bool:

@@ -67,6 +67,24 @@ def test_every_chain_of_a_text_is_undone(restorer):
     assert len(a) == len(b) and sum(x == y for x, y in zip(a[-3 * last :], b[-3 * last :], strict=True)) >= 0.9 * 3 * last
 
 
+def test_results_do_not_depend_on_the_memory(restorer, monkeypatch):
+    steps = [("cp1252", "utf-8"), ("cp437", "utf-8"), ("cp1251", "utf-8")]
+    texts = [_garble(t, s) for t in (FRENCH, GERMAN, RUSSIAN) for s in steps] + [FRENCH, RUSSIAN, " ".join(_garble(FRENCH, s) for s in steps)]
+    results = []
+    for words in (1, 20, 10**9):
+        monkeypatch.setattr(en, "MEMO_WORDS", words)
+        restorer.memo.clear()
+        results.append([(restorer.restore(t), restorer.lost(t)) for t in texts])
+    assert results[0] == results[1] == results[2] and sum(chain is not None for (_, chain), _ in results[0]) == 10
+
+
+def test_another_encoding_before_utf8_is_undone(restorer):
+    bad = _garble(RUSSIAN, ("cp1252", "cp1251"), ("cp1252", "utf-8"))
+    now, chain = restorer.restore(bad)
+    assert "utf_8>cp1252+cp1251>cp1252" in chain
+    assert sum(x == y for x, y in zip(now.split(), RUSSIAN.split(), strict=True)) >= 0.9 * len(RUSSIAN.split())
+
+
 @pytest.mark.parametrize("text", [FRENCH, GERMAN, RUSSIAN, JAPANESE, ENGLISH, FRENCH.upper(), "A LÃ: 527. Âge: 35.", "© 298 ¤ 673", "CAFÉ» là", "plain", "", " "])
 def test_sound_texts_stay(restorer, text):
     assert restorer.restore(text) == (text, None) and not restorer.lost(text)
