@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.session import small
+
 PIECE_SCHEMA = "table_name string, row_id bigint, piece_index int, start_char bigint, end_char bigint, boundary string, text string"
 #: Strongest first.
 CLASSES = ("paragraph", "line", "sentence", "clause", "word", "hard")
@@ -90,7 +92,8 @@ def _mark(codes: np.ndarray) -> np.ndarray:
 def successors(codes: np.ndarray, limit: int, overlap: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets that can be cuts (0 and n among them), the index of each one's successor, and its class.
 
-    Hard cuts reached from a boundary are offsets of their own; they are added until none is missing.
+    Hard cuts reached from a boundary are offsets of their own. Up to the next boundary they are ``limit - overlap``
+    apart, so all of them are given at once; rounds are needed only where a combining mark moves one.
     """
     n = len(codes)
     cls = boundary_classes(codes)
@@ -123,18 +126,30 @@ def successors(codes: np.ndarray, limit: int, overlap: int, reach: float) -> tup
             hard = hard - back
         return np.where(out < 0, hard, out)
 
-    offsets = np.concatenate([[0], by_class[4], [n]])
-    offsets = np.unique(offsets)
-    nxt = next_cut(offsets)
-    while True:
-        new = np.setdiff1d(nxt, offsets)
-        if not len(new):
-            break
-        merged = np.union1d(offsets, new)
-        grown = np.empty(len(merged), np.int64)
-        grown[np.searchsorted(merged, offsets)] = nxt
-        grown[np.searchsorted(merged, new)] = next_cut(new)
-        offsets, nxt = merged, grown
+    words, step = by_class[4], limit - overlap
+
+    def onwards(hard: np.ndarray) -> np.ndarray:
+        """Hard cuts and those that follow them before the next boundary comes into reach."""
+        i = np.searchsorted(words, hard, "right")
+        until = np.where(i < len(words), words[np.minimum(i, len(words) - 1)] if len(words) else n, n)
+        count = np.maximum((until - hard - 1) // step, 0) + 1
+        first = np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(hard, count) + (np.arange(len(first)) - first) * step
+
+    known = np.zeros(n + 1, bool)
+    new = np.unique(np.concatenate([[0], words, [n]]))
+    cuts, successor = [], []
+    while len(new):
+        known[new] = True
+        cuts.append(new)
+        successor.append(next_cut(new))
+        fresh = np.unique(successor[-1])
+        fresh = fresh[~known[fresh]]
+        new = np.unique(onwards(fresh)) if len(fresh) else fresh
+        new = new[~known[new]]
+    offsets, nxt = np.concatenate(cuts), np.concatenate(successor)
+    order = np.argsort(offsets)
+    offsets, nxt = offsets[order], nxt[order]
     nxt[-1] = n
     return offsets, np.searchsorted(offsets, nxt), cls[offsets]
 
@@ -179,12 +194,12 @@ def pieces_of(texts: list[str], limits: list[int], overlaps: list[int], reach: f
 def split(df: DataFrame, limits: DataFrame, *, key: str = "row_id", text: str = "text", table: str = "table_name", reach: float = 0.6) -> DataFrame:
     """Pieces of every text of ``df`` longer than its table's limit.
 
-    df: table, key, text. limits: table_name, max_chars, overlap_chars, one row a table (a handful of rows: broadcast).
+    df: table, key, text. limits: table_name, max_chars, overlap_chars, one row a table: broadcast if there are at most session.SMALL_ROWS, joined else.
     Texts within the limit never leave the JVM; there is no shuffle. A text stays in one task, as its bytes do in one row.
     """
-    small = limits.select(F.col("table_name").alias("_limit_of"), F.col("max_chars").cast("int").alias("_limit"), F.col("overlap_chars").cast("int").alias("_overlap")).where("_limit > 0").dropDuplicates(["_limit_of"])
+    each = limits.select(F.col("table_name").alias("_limit_of"), F.col("max_chars").cast("int").alias("_limit"), F.col("overlap_chars").cast("int").alias("_overlap")).where("_limit > 0").dropDuplicates(["_limit_of"])
     over = df.select(F.col(table).alias("_table"), F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
-    over = over.join(F.broadcast(small), F.col("_table") == F.col("_limit_of")).where(F.length("_text") > F.col("_limit"))
+    over = over.join(small(each), F.col("_table") == F.col("_limit_of")).where(F.length("_text") > F.col("_limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
