@@ -7,8 +7,10 @@ A source with T tokens can give at most T * max_repeats. The tokens it gives to
 with one exponent x for the mix, found by bisection so that the sum is B: sources within their limits keep their
 target proportions, sources at their limit give all they may, and what they leave is spread over the others in
 proportion to their targets. If all sources together cannot fill B, each gives its all and the mix is smaller.
-For mixes without targets ``temperature`` finds the exponent of the sources' own token shares that meets a target
-entropy within the repetition limit, likewise by bisection.
+With ``by="temperature"`` the weights are those of the method's own kind: the sources' token shares to an exponent,
+which is found by bisection so that their entropy is that of the targets, or the nearest that the repetition limits
+allow. Entropy says how even a mix is, not which source gets which share, so targets named by source are met by it only
+by chance; it is there for mixes that are asked to be even and no more.
 
 A source's tokens are then realised as whole passes, each a permutation of the source, and one partial pass: the
 source's documents are hashed into blocks, blocks are permuted by hash, whole blocks are taken while the budget lasts,
@@ -27,7 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.session import cut
+from quire.plans.session import small, written
 
 BLOCKS = 4096
 #: Documents a block is meant to hold at least, so that small sources have few blocks.
@@ -56,10 +58,11 @@ def allot(targets: list[float], capacities: list[float], budget: float) -> list[
     return given(bisect(lambda x: sum(given(x)) - budget, 0.0, 600.0))
 
 
-def temperature(tokens: list[float], budget: float, max_repeats: float, entropy: float) -> tuple[float, list[float]]:
-    """(exponent, weights): token shares to the exponent, whose entropy (in nats) is the target's or, if that breaks the repetition limit, the nearest that keeps it. A smaller exponent is flatter."""
+def temperature(tokens: list[float], budget: float, max_repeats: list[float], entropy: float) -> tuple[float, list[float]]:
+    """(exponent, weights): token shares to the exponent, whose entropy (in nats) is the target's or, if that breaks a repetition limit, the nearest that keeps all. A smaller exponent is flatter."""
     total = sum(tokens)
     shares = [t / total for t in tokens if t > 0] if total else []
+    limits = [t * r for t, r in zip(tokens, max_repeats, strict=True) if t > 0]
     if not shares:
         return 1.0, [0.0 for _ in tokens]
 
@@ -73,19 +76,29 @@ def temperature(tokens: list[float], budget: float, max_repeats: float, entropy:
     at = bisect(lambda a: entropy - spread(a), 0.0, 8.0)
 
     def over(a: float) -> float:
-        return max(budget * w - max_repeats * s * total for w, s in zip(weights(a), shares, strict=True))
+        return max(budget * w - most for w, most in zip(weights(a), limits, strict=True))
 
-    if over(at) > 0 and over(1.0) <= 0 and at < 1:
-        at = bisect(lambda a: -over(a), at, 1.0)
+    if over(at) > 0 and over(1.0) <= 0:  # back towards the shares as they are
+        far = bisect(lambda x: -over(at + (1 - at) * x), 0.0, 1.0)
+        at += (1 - at) * far
     out = iter(weights(at))
     return at, [next(out) if t > 0 else 0.0 for t in tokens]
 
 
+def tempered(targets: list[float], tokens: list[float], repeats: list[float], budget: float) -> list[float]:
+    """Tokens that each source gives by temperature, no more than it has."""
+    total = sum(t for t in targets if t > 0)
+    entropy = -sum(t / total * math.log(t / total) for t in targets if t > 0) if total else 0.0
+    own = [n if t > 0 else 0.0 for n, t in zip(tokens, targets, strict=True)]
+    weights = temperature(own, budget, repeats, entropy)[1]
+    return [min(budget * w, n * r) for w, n, r in zip(weights, own, repeats, strict=True)]
+
+
 def _hash(*parts) -> F.Column:
     return F.xxhash64(*parts)
 
 
-def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, *, by: str = "targets") -> DataFrame:
     """mix_id, source, target_share, max_repeats, source_tokens, documents, planned, passes, rest: what each source is to give. One row a target; targets and source totals are small tables."""
     totals = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0)).alias("documents"))
     everything = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
@@ -96,7 +109,8 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
         tokens = pdf["source_tokens"].fillna(0).astype(float)
         repeats = pdf["max_repeats"].fillna(1).clip(lower=0).astype(float)
         budget = float(pdf["size_ratio"].fillna(1).iloc[0]) * float(pdf["all_tokens"].iloc[0])
-        planned = allot(pdf["target_share"].fillna(0).tolist(), (tokens * repeats).tolist(), budget)
+        shares = pdf["target_share"].fillna(0).tolist()
+        planned = tempered(shares, tokens.tolist(), repeats.tolist(), budget) if by == "temperature" else allot(shares, (tokens * repeats).tolist(), budget)
         pdf["source_tokens"], pdf["documents"] = tokens.astype("int64"), pdf["documents"].fillna(0).astype("int64")
         pdf["budget"], pdf["planned"] = budget, [int(x) for x in planned]
         pdf["passes"] = [int(p // t) if t else 0 for p, t in zip(pdf["planned"], tokens, strict=True)]
@@ -107,10 +121,10 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def draw(sized: DataFrame, planned: DataFrame) -> DataFrame:
-    """mix_id, source, doc_id, n_tokens, copies: how often each document is used. sized: doc_id, source, n_tokens; planned: of plan(), a row a target (small: broadcast)."""
-    small = F.broadcast(planned.where("planned > 0").select("mix_id", "source", "documents", "passes", "rest"))
+    """mix_id, source, doc_id, n_tokens, copies: how often each document is used. sized: doc_id, source, n_tokens; planned: of plan(), a row a target, broadcast if there are at most session.SMALL_ROWS."""
+    given = small(planned.where("planned > 0").select("mix_id", "source", "documents", "passes", "rest"))
     blocks = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("documents") / BLOCK_DOCUMENTS))).cast("int")
-    rows = sized.where("n_tokens > 0 and source is not null").join(small, "source").select("mix_id", "source", "doc_id", "n_tokens", "passes", "rest", F.pmod(_hash("doc_id", "mix_id", F.lit(1)), blocks).cast("int").alias("block"))
+    rows = sized.where("n_tokens > 0 and source is not null").join(given, "source").select("mix_id", "source", "doc_id", "n_tokens", "passes", "rest", F.pmod(_hash("doc_id", "mix_id", F.lit(1)), blocks).cast("int").alias("block"))
     sums = rows.groupBy("mix_id", "source", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("rest").alias("rest"))
     order = Window.partitionBy("mix_id", "source").orderBy(_hash("block", "mix_id", "source"), "block").rowsBetween(Window.unboundedPreceding, 0)
     run = sums.withColumn("to", F.sum("block_tokens").over(order)).withColumn("from", F.col("to") - F.col("block_tokens"))
@@ -131,6 +145,6 @@ def report(drawn: DataFrame, planned: DataFrame) -> DataFrame:
     return rows.select("mix_id", "source", "target_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("reached_share"), "tokens", "budget", "copies", "most_repeats", "max_repeats", (F.col("planned") >= F.col("source_tokens") * F.col("max_repeats")).alias("at_limit"))
 
 
-def sized_documents(documents: DataFrame, encoded: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens of every document; encoded: doc_id, n_tokens. Written once, since planning and drawing both read it."""
-    return cut(documents.select("doc_id", "source").join(encoded, "doc_id").select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")))
+def sized_documents(documents: DataFrame, encode) -> DataFrame:
+    """doc_id, source, n_tokens of every row of documents, repeated ones too. encode: a function of a table and the name of a column to keep that gives doc_id, that column and n_tokens. Written once, since planning and drawing both read it."""
+    return written(encode(documents.select("doc_id", "source", "text"), "source").select("doc_id", "source", "n_tokens"))

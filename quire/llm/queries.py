@@ -86,10 +86,10 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, sf_dir))
 
 
-def _mixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixes(spark: SparkSession, sf_dir: str, by: str = "targets") -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents")
-    sized = mixing.sized_documents(documents, tokens.encode(documents, lengths_only=True))
-    planned = cut(mixing.plan(sized, table(spark, sf_dir, "mix_targets")))
+    sized = mixing.sized_documents(documents, lambda df, source: tokens.encode(df, carry=source, lengths_only=True))
+    planned = cut(mixing.plan(sized, table(spark, sf_dir, "mix_targets"), by=by))
     return mixing.draw(sized, planned), planned
 
 
@@ -103,6 +103,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mixes(spark, sf_dir))
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of mixes whose weights are token shares to an exponent, as even as the targets are."""
+    return mixing.report(*_mixes(spark, sf_dir, by="temperature"))
+
+
+def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of every document in lines that many documents of its source hold, and whether that depletes it."""
+    return repetition.line_frequency(table(spark, sf_dir, "documents"))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated share of every document."""
     return repetition.repeated_share(table(spark, sf_dir, "documents"))
@@ -112,7 +122,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
 
 SQL = {
     "p5_found": """

@@ -6,9 +6,10 @@ in a run of ``run`` words (``wide_run`` where the run holds letters of such a sc
 text, or between two repeated words with at most ``gap`` others: a changed word inside a repeated phrase does not
 break it. The share is that of letters in repeated words.
 
-Counting lines over documents finds boilerplate, not this: a text that repeats itself is no more frequent than others,
-and its repeats need not be lines. So the hashes are kept, but of word runs, and their counts are taken within each
-text. Texts are handled many at once, in one array; nothing leaves the task, there is no shuffle.
+Counting lines over documents (``line_frequency``, the method named for this problem) finds boilerplate, not this: a text
+that repeats itself is no more frequent than others, and its repeats need not be lines. For repeats within a text the
+hashes are kept, but of word runs, and their counts are taken within each text. Texts are handled many at once, in one
+array; nothing leaves the task, there is no shuffle.
 
 Runs are compared by 64-bit hashes of their word numbers, mixed with the number of the text.
 
@@ -114,3 +115,23 @@ def repeated_share(df: DataFrame, *, key: str = "doc_id", text: str = "text", ru
                     low, chars = i + 1, 0
 
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string")).mapInArrow(go, "doc_id bigint, repeated_share double")
+
+
+def line_frequency(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", most: int = 5, depleted: float = 0.4) -> DataFrame:
+    """doc_id, letters, removed_share, rejected: of each document the share of letters in lines that more than ``most`` documents of its host hold, and whether that is ``depleted`` or more.
+
+    Lines are compared by 64-bit hashes of their letters in lower case, so case, spacing, punctuation and numbering do
+    not count; lines without letters are none. A document counts once for each of its lines, so counting needs no
+    distinct and is combined within tasks. Frequent lines are joined back by the plan that their number asks for, a
+    frequent line of many documents being split by adaptive execution. A null host is a host; null, empty and letterless
+    texts have no letters, share 0 and are not rejected; rows of one key are one document.
+    """
+    letters = F.transform(F.split(F.col(text).cast("string"), "\\R"), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]+", ""))
+    held = F.transform(F.filter(letters, lambda x: F.length(x) > 0), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("size")))
+    docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(held, F.array().cast("array<struct<line:bigint,size:int>>")).alias("lines"))
+    counts = docs.select("host", F.explode(F.array_distinct("lines")).alias("l")).groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("n"))
+    frequent = counts.where(F.col("n") > most).select("host", "line", F.lit(True).alias("removed"))
+    each = docs.select("doc_id", "host", F.explode_outer("lines").alias("l")).select("doc_id", "host", F.col("l.line").alias("line"), F.coalesce("l.size", F.lit(0)).alias("size"))
+    sums = each.join(frequent, ["host", "line"], "left").groupBy("doc_id").agg(F.sum("size").alias("letters"), F.sum(F.when(F.col("removed"), F.col("size")).otherwise(0)).alias("gone"))
+    share = F.when(F.col("letters") > 0, F.col("gone") / F.col("letters")).otherwise(0.0)
+    return sums.select("doc_id", "letters", share.alias("removed_share"), (share >= depleted).alias("rejected"))

@@ -4,12 +4,15 @@ Byte-level BPE splits a text into pre-tokens ("words") and merges bytes within e
 of its words in order. Texts are gathered into blocks of bounded size; a block keeps the order of its words as an array
 of local word numbers (its skeleton) and lists each distinct word once.
 
-1. Words are shuffled by (word, salt): the distinct words of the corpus. A task encodes each word it meets once.
-   The salt splits a word that stands in every block over several tasks; it is a function of the block.
-2. Ids go back to their block, where the skeleton puts them into place.
+1. Blocks are written once, as a table. Its words are counted; every distinct word of the corpus is encoded once, in one
+   row of a table of (word, blocks that hold it, ids).
+2. Ids are joined to the words of each block, by word. A word in so many blocks that its rows would crowd a task is
+   hot; there are at most ``HOT_SHARE`` of them for each shuffle partition, so they are joined by broadcast, and their
+   rows are not shuffled by word. Skeletons are not shuffled by word at all.
+3. Ids go back to their block, where the skeleton puts them into place.
 
-What is shuffled is distinct words per block and skeletons, not occurrences. Tasks hold one block at a time; a text
-longer than a block is a block of its own.
+What is shuffled is distinct words per block, not occurrences. Tasks hold one block at a time; a text longer than a
+block is a block of its own.
 
 Defined results: null and empty texts have the empty list; blank texts are encoded as they stand; strings that look
 like special tokens are ordinary text; every row gives one row, repeated rows too.
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.session import shuffle_width
+from quire.plans.session import shuffle_width, written
 
 #: Where the vocabulary files are; a parameter of every operator here.
 TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
@@ -36,8 +39,8 @@ TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 2048
-#: Most words a task remembers before it starts anew.
-MEMO_WORDS = 1 << 19
+#: A word is hot with more than HOT_ROWS rows and more than 1 / HOT_SHARE of an even partition.
+HOT_ROWS, HOT_SHARE = 10_000, 4
 
 
 @lru_cache(maxsize=4)
@@ -69,10 +72,9 @@ def word_pieces(path: str):
     return encode
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("word", pa.string()), ("docs", pa.list_(pa.int64())), ("counts", pa.binary()), ("order", pa.binary())])
-_BLOCK_SCHEMA = "block bigint, idx int, word string, docs array<bigint>, counts binary, order binary"
-_ID_SCHEMA = "block bigint, idx int, ids binary, docs array<bigint>, counts binary, order binary"
-_ID = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("ids", pa.binary()), ("docs", pa.list_(pa.int64())), ("counts", pa.binary()), ("order", pa.binary())])
+_BLOCK_SCHEMA = "block bigint, idx int, word string, docs array<bigint>, carried array<string>, counts binary, order binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("word", pa.string()), ("docs", pa.list_(pa.int64())), ("carried", pa.list_(pa.string())), ("counts", pa.binary()), ("order", pa.binary())])
+_WORD_SCHEMA = "word string, n bigint, ids binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,27 +84,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seq = TaskContext.get().partitionId() << 32
     words: dict[str, int] = {}
     docs: list = []
+    carried: list = []
     counts: list[int] = []
     order: list[np.ndarray] = []
     chars = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal seq, words, docs, counts, order, chars
+        nonlocal seq, words, docs, carried, counts, order, chars
         n = len(words)
         every = np.concatenate(order) if order else np.empty(0, np.uint32)
         packed = (every.astype(np.uint16) if n <= 1 << 16 else every).tobytes()
-        rows = [pa.array([seq] * (n + 1), pa.int64()), pa.array([*range(n), -1], pa.int32()), pa.array([*words, None], pa.string()), pa.array([None] * n + [docs], pa.list_(pa.int64())), pa.array([None] * n + [np.array(counts, np.uint32).tobytes()], pa.binary()), pa.array([None] * n + [packed], pa.binary())]
-        seq, words, docs, counts, order, chars = seq + 1, {}, [], [], [], 0
+        skeleton = (docs, carried, np.array(counts, np.uint32).tobytes(), packed)
+        rows = [pa.array([seq] * (n + 1), pa.int64()), pa.array([*range(n), -1], pa.int32()), pa.array([*words, None], pa.string()), *(pa.array([None] * n + [x], f.type) for x, f in zip(skeleton, [_BLOCK.field(i) for i in range(3, 7)], strict=True))]
+        seq, words, docs, carried, counts, order, chars = seq + 1, {}, [], [], [], [], 0
         return pa.RecordBatch.from_arrays(rows, schema=_BLOCK)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if docs and (chars + len(text or "") > BLOCK_CHARS or len(docs) >= BLOCK_TEXTS):
                 yield flush()
             found = find(text) if text else []
             new = words.setdefault
             order.append(np.array([new(w, len(words)) for w in found], np.uint32))
             docs.append(doc)
+            carried.append(more)
             counts.append(len(found))
             chars += len(text or "")
     if docs:
@@ -112,25 +117,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_pieces(path)
-        memo: dict[str, bytes] = {}
         for batch in batches:
-            out: list[bytes | None] = []
-            for word in batch.column(2).to_pylist():
-                if word is None:
-                    out.append(None)
-                    continue
-                ids = memo.get(word)
-                if ids is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    ids = memo[word] = np.array(encode(word), np.uint32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), *(batch.column(i) for i in (3, 4, 5))], schema=_ID)
+            ids = [np.array(encode(word), np.uint32).tobytes() for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return run
 
 
-def _assembled(lengths_only: bool):
+def _assembled(lengths_only: bool, carried: bool):
     value = pa.int32()
 
     def run(rows: pa.Table) -> pa.Table:
@@ -154,23 +148,35 @@ def _assembled(lengths_only: bool):
         each = size[order]
         done = np.concatenate([[0], np.cumsum(each)])
         ends = done[np.concatenate([[0], np.cumsum(counts)])]
+        own = {"doc_id": pa.array(docs, pa.int64())} | ({"carried": pa.array(rows.column("carried")[at].as_py(), pa.string())} if carried else {})
         if lengths_only:
-            return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64())})
+            return pa.table(own | {"n_tokens": pa.array(np.diff(ends), pa.int64())})
         take = np.repeat(first[order] - done[:-1], each) + np.arange(int(done[-1]))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32()), pa.array(flat[take], value))
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": lists})
+        return pa.table(own | {"ids": lists})
 
     return run
 
 
-def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, lengths_only: bool = False, salts: int | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) of every row of ``df``; with ``lengths_only`` doc_id, n_tokens (bigint)."""
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """word, n, ids: every distinct word once, with the number of its rows; written."""
+    return written(words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(_encoded(path), _WORD_SCHEMA))
+
+
+def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", carry: str | None = None, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, lengths_only: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>) of every row of ``df``; with ``lengths_only`` doc_id, n_tokens (bigint). carry: a further column to keep, as a string, under its name."""
     width = shuffle_width(df.sparkSession)
-    salts = salts or max(1, width // 4)
-    blocks = df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(_blocks, _BLOCK_SCHEMA)
-    spread = blocks.repartition(width, F.coalesce("word", F.lit("")), F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.pmod(F.col("block"), F.lit(salts))))
-    ids = spread.mapInArrow(_encoded(_file(tokenizer, folder)), _ID_SCHEMA)
-    return ids.groupBy("block").applyInArrow(_assembled(lengths_only), "doc_id bigint, n_tokens bigint" if lengths_only else "doc_id bigint, ids array<int>")
+    more = (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried")
+    blocks = written(df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), more).mapInArrow(_blocks, _BLOCK_SCHEMA))
+    words = blocks.where("word is not null").select("block", "idx", "word")
+    table = encoded_words(words, _file(tokenizer, folder))
+    most = max(HOT_ROWS, words.count() // (HOT_SHARE * width))  # at most HOT_SHARE * width words have more rows
+    hot = table.where(F.col("n") > most).select("word", "ids")
+    seldom = words.join(F.broadcast(hot.select("word")), "word", "left_anti").join(table.where(F.col("n") <= most).select("word", "ids"), "word")
+    found = seldom.unionByName(words.join(F.broadcast(hot), "word")).select("block", "idx", "ids")
+    parts = found.unionByName(blocks.where("word is null").drop("word"), allowMissingColumns=True)
+    done = parts.groupBy("block").applyInArrow(_assembled(lengths_only, carry is not None), "doc_id bigint, " + ("carried string, " if carry else "") + ("n_tokens bigint" if lengths_only else "ids array<int>"))
+    return done.withColumnRenamed("carried", carry) if carry else done
 
 
 def decode(df: DataFrame, *, key: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -85,3 +85,13 @@ def test_runs_are_flushed(spark, monkeypatch):
     monkeypatch.setattr(pr, "RUN_CODES", 3)
     df = spark.createDataFrame([("x", [["A", "B"]])] * 20, "grp string, items array<array<string>>")
     assert [r.n_ab for r in pr.pair_counts(df).collect()] == [20]
+
+
+def test_line_frequency(spark):
+    foot = "Printed by A. B., 1901."
+    rows = [(i, f"Text number {chr(97 + i) * 9}\n{foot}\r\n\n12\n", "x", 0) for i in range(4)] + [(9, foot.upper(), "x", 0), (10, foot, "y", 0), (11, None, "x", 0), (12, "", None, 0), (13, f"{foot}\n{foot}\nab", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, line int")
+    got = {r.doc_id: (r.letters, round(r.removed_share, 3), r.rejected) for r in rp.line_frequency(df, most=4).collect()}
+    assert got[9] == (11, 1.0, True) and got[0] == (30, round(11 / 30, 3), False) and got[10] == (11, 0.0, False)
+    assert got[11] == (0, 0.0, False) == got[12] and got[13] == (24, 0.0, False) and len(got) == 9
+    assert all(not r.rejected for r in rp.line_frequency(df, most=5).collect()) and rp.line_frequency(df.limit(0)).count() == 0
