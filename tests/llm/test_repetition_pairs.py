@@ -4,6 +4,9 @@ import json
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
+import pytest
+
 from quire.llm import pairs as pr
 from quire.llm import repetition as rp
 
@@ -81,10 +84,52 @@ def test_shapes_of_participants(spark):
     assert pr.participant_records(df).collect()[0]["items"] == [["A", "B"], [], ["C"]]
 
 
-def test_runs_are_flushed(spark, monkeypatch):
-    monkeypatch.setattr(pr, "RUN_CODES", 3)
-    df = spark.createDataFrame([("x", [["A", "B"]])] * 20, "grp string, items array<array<string>>")
-    assert [r.n_ab for r in pr.pair_counts(df).collect()] == [20]
+def _batch(*rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int32()), strict=True)], names=["grp", "ids", "low", "high"])
+
+
+def test_runs_are_bounded_within_a_record(monkeypatch):
+    monkeypatch.setattr(pr, "RUN_CODES", 1 << 14)
+    m = 1500
+    ids = list(range(7, 7 + m))
+    whole, total = Counter(), 0
+    for run in pr._runs(iter([_batch(("x", ids, 0, m), ("x", [7, 8], 0, 2), ("y", [7, 8], 0, 2))])):
+        codes = list(zip(run.column(0).to_pylist(), run.column(1).to_pylist(), strict=True))
+        assert len(codes) <= (1 << 14) + m and codes == sorted(set(codes), key=lambda c: (c[0], c[1] % (1 << 64)))
+        for code, n in zip(codes, run.column(2).to_pylist(), strict=True):
+            total += n
+            whole[code] += n if len(whole) < 100 or code in whole else 0
+    assert total == m * (m - 1) // 2 + m + 1 + 2 * 4
+    parts = sum(n for low in range(0, m, 400) for run in pr._runs(iter([_batch(("x", ids, low, low + 400))])) for n in run.column(2).to_pylist())
+    assert parts == m * (m - 1) // 2 + m + 1
+    assert whole["x", 7 << 32 | 8] in (0, 2) and [r.num_rows for r in pr._runs(iter([]))] == [0]
+
+
+def test_sorted_rows_are_counted_over_batches():
+    rows = [("x", 1, 2), ("x", 1, 3), ("x", 2, 1), ("y", 2, 1), ("y", 2, 1), ("y", 2, 5)]
+    for cut in range(len(rows) + 1):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(pr._RUN.names, r, strict=True)) for r in part], schema=pr._RUN) for part in (rows[:cut], rows[cut:])]
+        got = [tuple(r.values()) for b in pr._merged(iter(parts)) for r in b.to_pylist()]
+        assert got == [("x", 1, 5), ("x", 2, 1), ("y", 2, 7)]
+    assert list(pr._merged(iter([]))) == []
+
+
+@pytest.mark.parametrize("bounds", [{"HASH_BITS": 3}, {"HASH_BITS": 3, "CLASH_ROWS": 2}, {"SPLIT_ITEMS": 3, "RUN_CODES": 10}])
+def test_numbers_that_clash_and_large_records(spark, monkeypatch, bounds):
+    for k, v in bounds.items():
+        monkeypatch.setattr(pr, k, v)
+    names = [f"n{i:03d}" for i in range(40)]
+    rows = [(g, [names[i : i + k], names[:2], []]) for g in "xy" for i, k in ((0, 40), (3, 6), (3, 1), (0, 2))] + [("x", None), (None, [["a", "b"]]), ("z", [["q", None, " ", "q", "p"]])]
+    df = spark.createDataFrame(rows, "grp string, items array<array<string>>")
+    truth, total, single = Counter(), Counter(), Counter()
+    for g, records in rows:
+        for r in records or [] if g else []:
+            items = sorted({i for i in r if i and i.strip()})
+            total[g] += 1
+            single.update((g, i) for i in items)
+            truth.update((g, *p) for p in combinations(items, 2))
+    got = {(r.grp, r.a, r.b): (r.n_ab, r.n_a, r.n_b, r.n) for r in pr.pair_counts(df).collect()}
+    assert got == {(g, a, b): (n, single[g, a], single[g, b], total[g]) for (g, a, b), n in truth.items()}
 
 
 def test_line_frequency(spark):
