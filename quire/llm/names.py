@@ -7,7 +7,11 @@ each with its cost (negative log likelihood). A spelling joins the candidate of
 is decisive among the candidates that are not themselves spellings of one name.
 
 1. Mentions are counted by (group, spelling), within tasks first.
-2. Spellings and candidates meet by keys they share (words with one letter left out, initials), not all with all.
+2. Spellings and candidates meet by keys they share, not all with all. A key says which part of a candidate it stands
+   for: a candidate has the keys of its surname (with one letter left out), which every word of a spelling may be; those
+   of its given name are asked for by single words only, or together with a letter of the surname. Organisations meet
+   by words that are not mere kinds, or by initials. Keys are hashes with the group in them, and rows of keys hold
+   numbers only; what meets is then compared as strings. A key that many share is split by adaptive execution.
 3. Full forms are linked first, each to a higher ranked one, and the links followed to their roots by doubling;
    abbreviated forms are then judged against the roots alone, whose counts now include their spellings. Abbreviated
    forms that fit no root are one if their words are the same.
@@ -23,15 +27,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import analysis_json as aj
-from quire.plans.session import cut
+from quire.plans.session import cut, written
 
 # Names for nobody in particular (whole names, and first words of such names).
 NOBODY = {"unknown", "unnamed", "narrator", "stranger", "crowd", "anonymous", "someone", "somebody", "nobody", "none", "n/a", "others", "people", "various", "unspecified", "not specified", "author", "speaker", "man", "woman", "boy", "girl", "voice", "everyone"}
@@ -188,22 +195,66 @@ class Name:
             return " ".join(low) in NOBODY
         return " ".join(low) in NOBODY or low[0] in NOBODY_FIRST and not any(w[:1].isupper() for w in self.text.split()[1:]) or all(w in NOBODY | NOBODY_FIRST for w in low)
 
-    def keys(self) -> set[str]:
-        out: set[str] = set()
-        for w, raw in zip(self.words, self.raw, strict=True):
-            if len(w) == 1:
-                continue
-            forms = {w, read_alike(w), *w.split("-"), *bare(raw).split("-")} - {""}
-            for f in list(forms):
-                out.add(f)
-                if len(f) >= 4:
-                    out |= {f[:i] + f[i + 1 :] for i in range(len(f))}
-            if not self.org:
-                out |= {"given:" + n for n in _SHORT.get(w, ())} | ({"given:" + w} if w in NICKNAMES else set()) | ({"start:" + w[:3]} if len(w) >= 3 else set())
-            else:
-                out.add("start:" + w[:3])
-        if self.org and len(self.letters) >= 2:
-            out.add("initials:" + self.letters)
+    def _word_keys(self, role: str, i: int) -> Iterator[tuple[str, int]]:
+        """(key, mark) of a word: its forms, and each with one letter left out. The mark is 0 where the key is the word itself, else the word's: equal words meet by the word alone."""
+        w = self.words[i]
+        mark = zlib.crc32(w.encode()) & 0x7FFFFFFF | 1
+        forms = {w, read_alike(w), *w.split("-"), *bare(self.raw[i]).split("-")} - {""}
+        every = forms | {f[:k] + f[k + 1 :] for f in forms if len(f) >= 4 for k in range(len(f))}
+        return ((role + f, 0 if f == w else mark) for f in every)
+
+    def _given_forms(self, i: int, canonical: bool) -> set[str]:
+        w = self.words[i]
+        return {w, read_alike(w)} | ({"=" + w} if w in NICKNAMES else set()) | (set() if canonical else {"=" + n for n in _SHORT.get(w, ())})
+
+    def _kinds_left_out(self) -> list[int]:
+        own = [i for i, w in enumerate(self.words) if w not in ORG_KINDS and len(w) > 1]
+        return own or [i for i, w in enumerate(self.words) if len(w) > 1]
+
+    def typed_keys(self) -> set[tuple[str, int]]:
+        """Keys by which this spelling meets candidates."""
+        out: set[tuple[str, int]] = set()
+        if self.kind == "nobody":
+            return out
+        if self.org:
+            if len(self.letters) >= 2:
+                out.add(("i" + self.letters, 0))
+            for i in sorted(self._kinds_left_out(), key=lambda i: (self.words[i] in self.dotted, -len(self.words[i])))[:2] if self.kind != "acronym" else ():
+                w = self.words[i]
+                out |= {*self._word_keys("s", i), ("t" + w[:3], 0)} | ({("s" + ORG_SHORT[w], 0)} if w in ORG_SHORT else set())
+            return out
+        long = [i for i, w in enumerate(self.words) if len(w) > 1]
+        for i in long:
+            out |= {*self._word_keys("s", i)}
+        if len(self.words) == 1:
+            for i in long:
+                out |= {*self._word_keys("g", i)} | {("n" + f, 0) for f in self._given_forms(i, False) if f[0] == "="} | ({("t" + self.words[i][:3], 0)} if len(self.words[i]) >= 3 else set())
+        for i in long:
+            for j in long:
+                if i != j and len(self.words[j]) >= 6:
+                    out |= {(f"p{f}{end}", 0) for f in self._given_forms(i, False) for end in ("<" + self.words[j][0], ">" + self.words[j][-1])}
+        return out
+
+    def canonical_keys(self) -> set[tuple[str, int]]:
+        """Keys by which this name is met as a candidate."""
+        out: set[tuple[str, int]] = set()
+        if self.kind != "full":
+            return out
+        if self.org:
+            if len(self.letters) >= 2:
+                out.add(("i" + self.letters, 0))
+            for i in self._kinds_left_out():
+                w = self.words[i]
+                out |= {*self._word_keys("s", i), ("t" + w[:3], 0)} | ({("s" + ORG_SHORT[w], 0)} if w in ORG_SHORT else set())
+            return out
+        last = len(self.words) - 1
+        given, surname = self.words[0], self.words[last]
+        if len(surname) > 1:
+            out |= {*self._word_keys("s", last)}
+        if len(given) > 1:
+            out |= {*self._word_keys("g", 0), ("t" + given[:3], 0)} | ({("n=" + given, 0)} if given in NICKNAMES else set())
+            if len(surname) >= 6:
+                out |= {(f"p{f}{end}", 0) for f in self._given_forms(0, True) for end in ("<" + surname[0], ">" + surname[-1])}
         return out
 
 
@@ -405,63 +456,93 @@ def mention_counts(chunk_analyses: DataFrame, block_analyses: DataFrame) -> Data
 # ---- linking
 
 
+_KNOWN_SCHEMA = "id bigint, grp string, spelling string, org boolean, n bigint, same string, kind string, regular boolean"
+_KEY_SCHEMA = "g bigint, key string, mark int, id bigint, weight bigint"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 33
     for batch in batches:
         names = [name(s, o) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         same = [x.letters if x.kind == "acronym" else " ".join(sorted(x.words)) if x.kind != "nobody" else None for x in names]
-        more = [pa.array(same, pa.string()), pa.array([x.kind for x in names]), pa.array([x.regular and x.kind == "full" for x in names]), pa.array([sorted(x.keys()) if x.kind != "nobody" else [] for x in names], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *more], names=["grp", "spelling", "org", "n", "same", "kind", "regular", "keys"])
+        more = [pa.array(same, pa.string()), pa.array([x.kind for x in names], pa.string()), pa.array([x.regular and x.kind == "full" for x in names], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(names)), pa.int64()), *(batch.column(i) for i in range(4)), *more], names=["id", "grp", "spelling", "org", "n", "same", "kind", "regular"])
+        at += len(names)
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        org, v, c = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        cost = [channel_cost(a, b, o) for a, b, o in zip(v, c, org, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(cost, pa.float64())], names=["grp", "org", "spelling", "canonical", "n", "cost"])
+def _key_rows(canonical: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, marks, sizes = [], [], []
+            for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = name(s, o)
+                own = x.canonical_keys() if canonical else x.typed_keys()
+                sizes.append(len(own))
+                for key, mark in own:
+                    keys.append(key)
+                    marks.append(mark)
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(keys, pa.string()), pa.array(marks, pa.int32()), batch.column(3).take(row), batch.column(4).take(row)], names=["g", "key", "mark", "id", "weight"])
+
+    return run
+
+
+def _cost() -> Callable:
+    @F.arrow_udf("double")
+    def cost(typed: pa.Array, candidate: pa.Array, org: pa.Array) -> pa.Array:
+        return pa.array([channel_cost(a, b, o) for a, b, o in zip(typed.to_pylist(), candidate.to_pylist(), org.to_pylist(), strict=True)], pa.float64())
+
+    return cost
 
 
 def _attach(spellings: DataFrame, candidates: DataFrame, *, higher: bool) -> DataFrame:
-    """grp, spelling, canonical: the candidate of highest posterior. higher: only candidates ranked above the spelling."""
-    left = spellings.select("grp", "org", "spelling", F.col("regular").alias("v_regular"), F.col("n").alias("v_n"), F.explode("keys").alias("key"))
-    right = candidates.select("grp", "org", F.col("spelling").alias("canonical"), F.col("regular").alias("c_regular"), F.col("n").alias("c_n"), F.explode("keys").alias("key"))
-    met = left.join(right, ["grp", "org", "key"]).where("spelling <> canonical")
+    """id, to: the candidate of highest posterior, by ids. Both: id, grp, spelling, org, n, regular. higher: only candidates ranked above the spelling."""
+
+    def keys(df: DataFrame, canonical: bool, *names: str) -> DataFrame:
+        weight = F.col("n") + F.when(F.col("regular"), 1 << 62).otherwise(0)
+        rows = df.select(F.xxhash64("grp", "org").alias("g"), "spelling", "org", "id", weight.alias("weight")).mapInArrow(_key_rows(canonical), _KEY_SCHEMA)
+        return rows.select(F.xxhash64("g", "key").alias("k"), *(F.col(c).alias(new) for c, new in zip(("mark", "id", "weight"), names, strict=True)))
+
+    met = keys(spellings, False, "v_mark", "id", "v_weight").join(keys(candidates, True, "c_mark", "to", "c_weight"), "k").where("id <> to and (v_mark = 0 or v_mark <> c_mark)")
+    met = (met.where("c_weight >= v_weight") if higher else met).select("id", "to").distinct()
+    c = candidates.select(F.col("id").alias("to"), F.col("grp").alias("c_grp"), F.col("org").alias("c_org"), F.col("spelling").alias("canonical"), F.col("regular").alias("c_regular"), F.col("n").alias("c_n"))
+    both = met.join(c, "to").join(spellings.select("id", "grp", "org", "spelling", "regular", "n"), "id").where("grp = c_grp and org = c_org")
     if higher:
-        met = met.where("struct(c_regular, c_n, canonical) > struct(v_regular, v_n, spelling)")
-    met = met.select("grp", "org", "spelling", "canonical", F.col("c_n").alias("n")).distinct()
-    scored = met.mapInArrow(_scored, "grp string, org boolean, spelling string, canonical string, n bigint, cost double").where("cost is not null")
-    weighed = scored.withColumn("weight", F.col("n") * F.exp(-F.col("cost")))
-    best = weighed.groupBy("grp", "spelling").agg(F.max_by("canonical", F.struct("weight", "canonical")).alias("canonical"), F.max("weight").alias("top"), F.sum("weight").alias("all"))
+        both = both.where("struct(c_regular, c_n, canonical) > struct(regular, n, spelling)")
+    scored = both.select("id", "to", "canonical", "c_n", _cost()("spelling", "canonical", "org").alias("cost")).where("cost is not null")
+    weighed = scored.withColumn("weight", F.col("c_n") * F.exp(-F.col("cost")))
+    best = weighed.groupBy("id").agg(F.max_by("to", F.struct("weight", "canonical")).alias("to"), F.max("weight").alias("top"), F.sum("weight").alias("all"))
     if not higher:
         best = best.where(F.col("top") >= DECISIVE * F.col("all"))
-    return best.select("grp", "spelling", "canonical")
+    return best.select("id", "to")
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """Links followed to their ends, by doubling. They lead upwards in rank, so there are no rings."""
     while True:
-        on = links.select("grp", F.col("spelling").alias("canonical"), F.col("canonical").alias("further"))
-        links = cut(links.join(on, ["grp", "canonical"], "left").select("grp", "spelling", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")))
+        on = links.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        links = cut(links.join(on, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         if links.where("moved").isEmpty():
-            return links.select("grp", "spelling", "canonical")
-        links = links.select("grp", "spelling", "canonical")
+            return links.select("id", "to")
+        links = links.select("id", "to")
 
 
 def link_names(counts: DataFrame) -> DataFrame:
     """grp, spelling, org, n, entity: the canonical spelling of each spelling's entity, which is its own where it is linked to nothing."""
-    known = cut(counts.mapInArrow(_features, "grp string, spelling string, org boolean, n bigint, same string, kind string, regular boolean, keys array<string>"))
+    known = written(counts.select("grp", "spelling", "org", "n").mapInArrow(_features, _KNOWN_SCHEMA))
     full = known.where("kind = 'full'")
     first = _roots(cut(_attach(full, full, higher=True)))
-    merged = full.join(first, ["grp", "spelling"], "left").withColumn("entity", F.coalesce("canonical", "spelling"))
-    weight = merged.groupBy("grp", F.col("entity").alias("spelling")).agg(F.sum("n").alias("total"))
-    heads = full.join(weight, ["grp", "spelling"]).select("grp", "spelling", "org", F.col("total").alias("n"), "regular", "keys")
+    merged = full.join(first, "id", "left").withColumn("to", F.coalesce("to", "id"))
+    weight = merged.groupBy(F.col("to").alias("id")).agg(F.sum("n").alias("n"))
+    heads = full.drop("n").join(weight, "id")
     second = _attach(known.where("kind in ('short', 'acronym')"), heads, higher=False)
-    links = first.unionByName(second)
-    linked = cut(known.join(links, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", "same", "kind", F.coalesce("canonical", "spelling").alias("entity")))
+    linked = cut(known.join(first.unionByName(second), "id", "left").withColumn("to", F.coalesce("to", "id")))
     # abbreviated forms of no known name: those of the same words are one
-    alone = linked.where("kind in ('short', 'acronym') and entity = spelling and same is not null and same <> ''")
-    heads = alone.groupBy("grp", "org", "kind", "same").agg(F.max_by("spelling", F.struct("n", "spelling")).alias("head"), F.count("*").alias("forms")).where("forms > 1")
-    third = alone.join(heads, ["grp", "org", "kind", "same"]).select("grp", "spelling", "head")
-    return linked.join(third, ["grp", "spelling"], "left").select("grp", "spelling", "org", "n", F.coalesce("head", "entity").alias("entity"))
+    alone = linked.where("kind in ('short', 'acronym') and to = id and same is not null and same <> ''")
+    group = alone.groupBy("grp", "org", "kind", "same").agg(F.max_by("id", F.struct("n", "spelling")).alias("head"), F.count("*").alias("forms")).where("forms > 1")
+    third = alone.join(group, ["grp", "org", "kind", "same"]).select("id", "head")
+    every = linked.join(third, "id", "left").select("grp", "spelling", "org", "n", F.coalesce("head", "to").alias("to"))
+    return every.join(known.select(F.col("id").alias("to"), F.col("spelling").alias("entity")), "to").select("grp", "spelling", "org", "n", "entity")
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
