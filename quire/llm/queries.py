@@ -72,7 +72,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar chunks of every chunk."""
-    near = neighbours.similar(table(spark, sf_dir, "embeddings_dict"), graph=False, shard=neighbours.CELL, probes=neighbours.CELL_PROBES)
+    near = neighbours.exact(table(spark, sf_dir, "embeddings_dict"))
+    return near.select(F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 5).alias("similarity"))
+
+
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar of all chunks for those of rows whose id is divisible by 20."""
+    near = neighbours.search(table(spark, sf_dir, "embeddings_dict"), F.col("row_id") % 20 == 0)
     return near.select(F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 5).alias("similarity"))
 
 
@@ -122,7 +128,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_search": p6_search, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
 
 SQL = {
     "p5_found": """

@@ -121,7 +121,7 @@ def test_graph_recall():
 def _near(spark, rows, **how):
     df = spark.createDataFrame(rows, "chunk_id string, vector_values array<float>").selectExpr("*", "'x' as key", "0 as shard")
     out: dict = {}
-    for r in nb.similar(df, **how).collect():
+    for r in (how.pop("by", nb.similar))(df, **how).collect():
         out.setdefault(r.key, {})[r.neighbour] = r.similarity
     return out
 
@@ -142,9 +142,9 @@ def test_sharded_search(spark):
     divided = _near(spark, rows + odd, least=0.85, shard=150, probes=3, guests=100)
     pairs = {tuple(sorted((a, b))) for a, bs in divided.items() for b in bs}
     assert pairs <= want and len(pairs) / len({tuple(sorted(p)) for p in want}) > 0.95
-    parted = _near(spark, rows + odd, graph=False, shard=150, probes=99, guests=70)
+    parted = _near(spark, rows + odd, by=nb.exact, cell=150, probes=99, guests=70)
     assert set(parted) == set(names) and all(len(v) == 10 for v in parted.values())
-    exact = _near(spark, rows + odd, graph=False, shard=400, probes=8)
+    exact = _near(spark, rows + odd, by=nb.exact, cell=400, probes=8)
     assert set(exact) == set(names) and all(len(v) == 10 for v in exact.values())
     top = np.argsort(-true, axis=1)[:, :10]
     assert np.mean([len({names[j] for j in top[i]} & set(exact[names[i]])) / 10 for i in range(len(names))]) > 0.9
@@ -155,7 +155,7 @@ def test_the_exact_search_keeps_its_share_of_many_cells(spark, monkeypatch):
     monkeypatch.setattr(nb, "CELL_MOST", 16)  # as if the collection were far larger: 250 cells
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 8)) @ rng.normal(size=(8, 64))
-    got = _near(spark, [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)], graph=False, shard=16, probes=4)
+    got = _near(spark, [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)], by=nb.exact, cell=16, probes=4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     true = x @ x.T
     np.fill_diagonal(true, -2)
@@ -167,3 +167,64 @@ def test_few_vectors(spark):
     v = np.eye(64)[0].tolist()
     assert _near(spark, [("a", v), ("b", v), ("b", v)]) == {"a": {"b": 1.0}, "b": {"a": 1.0}}
     assert _near(spark, [("a", v)]) == {} and _near(spark, [("a", None)]) == {}
+
+
+def test_two_levels_of_centres():
+    x = _vectors(6000)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = nb.Centres(x, 300, flat=50)
+    assert c.tops is not None and 250 <= len(c.all) <= 350 and sum(map(len, c.groups)) == len(c.all)
+    got, want = c.nearest(x[:500], 5), np.argsort(-(x[:500] @ c.all.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want, strict=True)]) > 0.95
+    every = c.nearest(x[:3], 10_000)
+    assert all(sorted(r) == list(range(len(c.all))) for r in every.tolist())
+    plan = nb.Plan.fit(x, 600_000, 300, 3, 3000, 2000, 1.0, 16)
+    loads = np.bincount(plan.task, minlength=16)
+    assert plan.parts.max() > 1 or plan.divisions.max() > 1
+    assert loads.min() > 0 and len(plan.task) == plan.first[-1]
+
+
+def test_search_of_stated_queries(spark):
+    x = _vectors(3000, groups=50)
+    rows = [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("k0000", x[0].tolist()), ("null", None), ("copy", x[20].tolist())]
+    x = np.vstack([x, x[20]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"k{i:04d}" for i in range(3000)] + ["copy"]
+    true = x @ x.T
+    np.fill_diagonal(true, -2)
+    for how in ({"shard": 800}, {"shard": 300, "guests": 40, "share": 1}):  # without clusters, no cell may be left out
+        got = _near(spark, rows, by=lambda df, **k: nb.search(df, df.chunk_id.endswith("0"), **k), **how)
+        asked = [i for i, n in enumerate(names) if n.endswith("0")]
+        assert set(got) == {names[i] for i in asked} and all(len(v) == 10 for v in got.values()) and "copy" in got["k0020"]
+        assert np.mean([len({names[j] for j in np.argsort(-true[i])[:10]} & set(got[names[i]])) / 10 for i in asked]) > 0.9
+    assert _near(spark, rows, by=lambda df, **k: nb.search(df, df.chunk_id == "none", **k)) == {}
+
+
+def test_recall_of_the_shipped_search(spark):
+    """The query as registered, against brute force."""
+    from pathlib import Path
+
+    import pytest
+
+    from quire.llm import queries
+
+    where = "/root/testdata/sf0.1"
+    if not Path(where).exists():
+        pytest.skip("no test data here")
+    e = spark.read.parquet(f"{where}/embeddings_dict.parquet")
+    held = {r.key: r.vec for r in nb.usable(e, "chunk_id", "vector_values", 64).collect()}
+    names = list(held)
+    x = np.array([held[n] for n in names], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got: dict = {}
+    for r in queries.p6_search(spark, where).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour)
+    asked = {r.chunk_id for r in e.where("row_id % 20 = 0").collect()} & set(held)
+    assert set(got) == asked
+    at = {n: i for i, n in enumerate(names)}
+    hits = []
+    for n in asked:
+        s = x @ x[at[n]]
+        s[at[n]] = -2
+        hits.append(len({names[j] for j in np.argpartition(-s, 10)[:10]} & got[n]) / 10)
+    assert np.mean(hits) >= 0.9
