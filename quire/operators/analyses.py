@@ -81,20 +81,21 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def _read(df: DataFrame, key: str, text: str, shape: Callable, schema: str, unwrap: bool = True) -> DataFrame:
-    return df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(_reader(shape, schema, unwrap), schema)
+def _read(df: DataFrame, key: str, text: str, shape: Callable, schema: str, key_type: str, unwrap: bool = True) -> DataFrame:
+    schema = schema.replace("key bigint", f"key {key_type}", 1)
+    return df.select(F.col(key).cast(key_type), F.col(text).cast("string")).mapInArrow(_reader(shape, schema, unwrap), schema)
 
 
-def read_blocks(df: DataFrame, key: str = "row_id", text: str = "analysis") -> DataFrame:
-    return _read(df, key, text, _block, BLOCK_SCHEMA)
+def read_blocks(df: DataFrame, key: str = "row_id", text: str = "analysis", key_type: str = "bigint") -> DataFrame:
+    return _read(df, key, text, _block, BLOCK_SCHEMA, key_type)
 
 
-def read_chunks(df: DataFrame, key: str = "row_id", text: str = "analysis") -> DataFrame:
-    return _read(df, key, text, _chunk, CHUNK_SCHEMA)
+def read_chunks(df: DataFrame, key: str = "row_id", text: str = "analysis", key_type: str = "bigint") -> DataFrame:
+    return _read(df, key, text, _chunk, CHUNK_SCHEMA, key_type)
 
 
-def read_structures(df: DataFrame, key: str = "row_id", text: str = "structure") -> DataFrame:
-    return _read(df, key, text, _units, DOC_SCHEMA, unwrap=False)
+def read_structures(df: DataFrame, key: str = "row_id", text: str = "structure", key_type: str = "bigint") -> DataFrame:
+    return _read(df, key, text, _units, DOC_SCHEMA, key_type, unwrap=False)
 
 
 # ---- consolidation
@@ -214,27 +215,36 @@ def offline_vector(text: str, length: int = 64) -> list[float]:
     return [x / size for x in v] if size else v
 
 
-def embed(df: DataFrame, key: str, text: str, provider: Callable[[str], list[float]], *, length: int = 64, on_failure: str = "skip", attempts: int = 3) -> DataFrame:
-    """key, vector of rows with text; a failed row is left out, or has zeros with on_failure="zero"."""
+def offline_vectors(texts: list[str]) -> list[list[float]]:
+    return [offline_vector(t) for t in texts]
+
+
+def embed(df: DataFrame, key: str, text: str, provider: Callable[[list[str]], list[list[float]]], *, length: int = 64, on_failure: str = "skip", attempts: int = 3, batch: int = 100, wait: float = 0.0) -> DataFrame:
+    """key, vector of rows with text. The provider is given ``batch`` texts a call and tried up to ``attempts`` times, waiting ``wait`` seconds and twice as long each time after; a batch that fails is asked for text by text, so that one bad text costs no others. A failed row is left out, or has zeros with on_failure="zero"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def ask(texts: list[str]) -> list[list[float]] | None:
+            for i in range(attempts):
+                try:
+                    got = [[float(x) for x in v] for v in provider(texts)]
+                    if len(got) != len(texts) or any(len(v) != length for v in got):
+                        raise ValueError("length")
+                    return got
+                except Exception:  # see on_failure
+                    if i < attempts - 1:
+                        time.sleep(wait * 2**i)
+            return None
+
+        for rows in batches:
             keys, vectors = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                vector = None
-                for _ in range(attempts):
-                    try:
-                        vector = [float(x) for x in provider(t)]
-                        if len(vector) != length:
-                            raise ValueError("length")
-                        break
-                    except Exception:  # see on_failure
-                        vector = None
-                if vector is None and on_failure == "zero":
-                    vector = [0.0] * length
-                if vector is not None:
-                    keys.append(k)
-                    vectors.append(vector)
+            for low in range(0, rows.num_rows, batch):
+                own, texts = (rows.column(i).slice(low, batch).to_pylist() for i in (0, 1))
+                got = ask(texts)
+                each = got if got is not None else [one[0] if (one := ask([t])) is not None else None for t in texts] if len(texts) > 1 else [None]
+                for k, v in zip(own, each, strict=True):
+                    if v is not None or on_failure == "zero":
+                        keys.append(k)
+                        vectors.append(v if v is not None else [0.0] * length)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(vectors, pa.list_(pa.float32()))], names=["key", "vector"])
 
     return df.select(F.col(key).cast("string"), F.col(text).cast("string")).where(F.length(text) > 0).mapInArrow(run, "key string, vector array<float>")

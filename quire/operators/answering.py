@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.operators import analyses as an
 from quire.operators import library as lib
 from quire.operators import retrieval as rt
+from quire.plans.session import small
 
 FALLBACK_CHUNKS = 3
 
@@ -29,7 +30,7 @@ def contexts(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, *, k:
     found = shown.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("document_id", "context"))), lambda x: x["context"]), "\n\n").alias("context"), F.lit("similarity").alias("found_by"))
     hit = questions.select("q_id", "question").join(found, F.col("q_id").cast("string") == F.col("q")).select("q_id", "context", "found_by")
     left = questions.join(hit.select("q_id"), "q_id", "left_anti").where("length(question) > 0").select("q_id", "question")
-    held = chunks.where("text is not null").join(F.broadcast(left), F.ilike("text", F.concat(F.lit("%"), "question", F.lit("%"))))
+    held = chunks.where("text is not null").join(small(left), F.ilike("text", F.concat(F.lit("%"), "question", F.lit("%"))))
     w = Window.partitionBy("q_id").orderBy("chunk_num", "chunk_id")
     first = held.withColumn("n", F.row_number().over(w)).where(F.col("n") <= FALLBACK_CHUNKS)
     text = first.groupBy("q_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("context"), F.lit("text").alias("found_by"))

@@ -7,7 +7,7 @@ read whole. Offsets are code points.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.statistics import ranked
+from quire.plans.session import written
 
 #: A structural marker, line beginnings that make it none, and a scene break.
 MARKER = r"(CHAPTER|PART|BOOK)\s+([IVXLCDM\d]+)"
@@ -133,10 +134,15 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
 # ---- chunks
 
 
-def pack(text: str, target: int, overlap: int, *, least: int = 100) -> Iterator[tuple[str, int, int, int, bool]]:
+def quarter(s: str) -> int:
+    """Tokens estimated as a quarter of the characters."""
+    return len(s) // 4
+
+
+def pack(text: str, target: int, overlap: int, *, least: int = 100, size: Callable[[str], int] = quarter) -> Iterator[tuple[str, int, int, int, bool]]:
     """(chunk, scene, first paragraph, last paragraph, split) of a block, greedily.
 
-    Paragraphs are lines; tokens are estimated as a quarter of the characters. A buffer takes paragraphs until it has
+    Paragraphs are lines; tokens are counted by ``size``, by default estimated as a quarter of the characters. A buffer takes paragraphs until it has
     ``target`` tokens, is given out before a paragraph that would bring it over 1.2 targets, and starts anew with its
     last ``overlap`` words. A paragraph over 2.5 targets is cut at words. What is left at the end of a scene is given
     out if it has more than ``least`` characters. Where overlap and paragraph together are over the limit, the overlap
@@ -144,9 +150,6 @@ def pack(text: str, target: int, overlap: int, *, least: int = 100) -> Iterator[
     """
     most = int(2.5 * target)
 
-    def size(s: str) -> int:
-        return len(s) // 4
-
     def tail(s: str) -> str:
         return " ".join(s.split()[-overlap:]) if overlap > 0 else ""
 
@@ -162,10 +165,12 @@ def pack(text: str, target: int, overlap: int, *, least: int = 100) -> Iterator[
                 elif buffer:
                     buffer = ""
                 else:
-                    words, taken, length = p.split(), 0, 0
-                    while taken < len(words) and (length + len(words[taken]) + (taken > 0)) // 4 <= most:
-                        length += len(words[taken]) + (taken > 0)
-                        taken += 1
+                    words = p.split()
+                    # the most words that fit, by halving, as more words are no fewer tokens
+                    taken, beyond = 0, len(words) + 1
+                    while beyond - taken > 1:
+                        half = (taken + beyond) // 2
+                        taken, beyond = (half, beyond) if size(" ".join(words[:half])) <= most else (taken, half)
                     head, rest = (" ".join(words[:taken]), " ".join(words[taken:])) if taken else (p[: most * 4], p[most * 4 :])
                     yield head, number, i + 1, i + 1, True
                     if rest.strip():
@@ -188,25 +193,25 @@ def pack(text: str, target: int, overlap: int, *, least: int = 100) -> Iterator[
             yield buffer, number, min(first + 1, max(len(lines), 1)), len(lines), False
 
 
-def adaptive_chunks(blocks: DataFrame, *, key: str = "key", index: str = "block_index", text: str = "text", kind: str = "type", marker: str = "structural_marker", target: int = 1000, overlap: int = 100) -> DataFrame:
+def adaptive_chunks(blocks: DataFrame, *, key: str = "key", index: str = "block_index", text: str = "text", kind: str = "type", marker: str = "structural_marker", target: int = 1000, overlap: int = 100, size: Callable[[str], int] = quarter) -> DataFrame:
     """chunk_id, key, sequence, structure_type, structure_ref, text of blocks; sequence runs through all blocks of a key.
 
-    A block is packed within its task; sequences are the packed counts of the blocks before, by ranked(), so no task
-    holds a key's chunks.
+    A block is packed within its task, once, and written; sequences are the packed counts of the blocks before, by
+    ranked(), so no task holds a key's chunks. size: counts the tokens of a text, where an estimate will not do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for k, b, t, n, m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for local, (chunk, scene, a, z, divided) in enumerate(pack(t, target, overlap)):
+                for local, (chunk, scene, a, z, divided) in enumerate(pack(t, target, overlap, size=size)):
                     ref = f"{m or 'Unknown'} / Scene {scene} / Paras {a}-{z}" + " (split)" * divided
                     for column, x in zip(out, (k, b, local, n or "UnknownType", ref, chunk), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["key", "block", "local", "structure_type", "structure_ref", "text"])
 
     source = blocks.select(F.col(key).cast("string"), F.col(index).cast("bigint"), F.col(text).cast("string"), F.col(kind).cast("string"), F.col(marker).cast("string")).where(F.col(key).isNotNull() & F.col(index).isNotNull() & (F.length(text) > 0))
-    chunks = source.mapInArrow(run, "key string, block bigint, local int, structure_type string, structure_ref string, text string")
+    chunks = written(source.mapInArrow(run, "key string, block bigint, local int, structure_type string, structure_ref string, text string"))
     before = ranked(chunks, ["key"], "block").select("key", F.col("x").cast("bigint").alias("block"), "before")
     sequence = (F.col("before") + F.col("local")).cast("bigint")
     return chunks.join(before, ["key", "block"]).select(tx.stable_id("key", sequence).alias("chunk_id"), "key", sequence.alias("sequence"), "structure_type", "structure_ref", "text")
@@ -221,6 +226,24 @@ def token_windows(df: DataFrame, key: str, text: str, *, size: int = 400, overla
     return each.select("key", "chunk_index", F.array_join(F.slice("words", F.col("start") + 1, size), " ").alias("text"))
 
 
+def tokenizer_windows(df: DataFrame, key: str, text: str, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], *, size: int = 400, overlap: int = 60) -> DataFrame:
+    """key, chunk_index, text: windows of ``size`` tokens of a tokenizer, each beginning ``size - overlap`` tokens after the one before; the last one reaches the end. Decoding must give text for any run of ids."""
+    step = size - overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ks, ns, ts = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(t)
+                for n, at in enumerate(range(0, max(1, len(ids) - overlap), step)):
+                    ks.append(k)
+                    ns.append(n)
+                    ts.append(decode(ids[at : at + size]))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(ns, pa.int32()), pa.array(ts, pa.string())], names=["key", "chunk_index", "text"])
+
+    return _keyed(df, key, text).mapInArrow(run, "key string, chunk_index int, text string")
+
+
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
     """Pieces of at most ``size`` characters, split at the first separator that occurs, its parts merged with up to ``overlap`` characters of the parts before; parts that are too large are split by the next separator."""
     sep = next((s for s in separators if s == "" or s in text), "")

@@ -117,7 +117,7 @@ def analysis_offline_blocks(spark, d):
 
 @_query("embed_offline")
 def embed_offline(spark, d):
-    return _flat(an.embed(table(spark, d, "chunks"), "row_id", "text", an.offline_vector).withColumn("vector", F.transform("vector", lambda x: F.round(x, 4).cast("string"))))
+    return _flat(an.embed(table(spark, d, "chunks"), "row_id", "text", an.offline_vectors).withColumn("vector", F.transform("vector", lambda x: F.round(x, 4).cast("string"))))
 
 
 @_query("graph_nodes")

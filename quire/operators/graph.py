@@ -1,7 +1,8 @@
 """Nodes and edges from analyses, and the questions asked of a graph.
 
 Nodes: id, labels, name, properties. Edges: src, dst, type, properties; properties without a value are left out.
-Entities are nodes by their id, names that clean to the same id are one node with aliases. Everything is a union of
+Entities are nodes by their id, names that clean to the same id are one node with aliases. Whether a participant of an
+interaction is a known character, and a place a known location, is asked of the interaction's own document. Everything is a union of
 plans over exploded arrays; there is one shuffle a distinct.
 """
 
@@ -43,14 +44,14 @@ def structure_edges(docs: DataFrame) -> DataFrame:
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
-    """chunk_id, label, name, id, present: named entities of chunks (chunk_id, characters, locations, organizations)."""
+    """document_id, chunk_id, label, name, id, present: named entities of chunks (document_id, chunk_id, characters, locations, organizations)."""
     parts = []
     for field, label in KINDS:
         element = F.col("e.name") if field == "characters" else F.col("e")
         present = F.coalesce(F.col("e.presence") == "present", F.lit(False)) if field == "characters" else F.lit(False)
-        parts.append(chunks.select("chunk_id", F.explode(field).alias("e")).select("chunk_id", F.lit(label).alias("label"), tx.strip(element).alias("name"), present.alias("present")))
+        parts.append(chunks.select("document_id", "chunk_id", F.explode(field).alias("e")).select("document_id", "chunk_id", F.lit(label).alias("label"), tx.strip(element).alias("name"), present.alias("present")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("name <> ''")
-    return rows.select("chunk_id", "label", "name", tx.entity_id("label", "name").alias("id"), "present")
+    return rows.select("document_id", "chunk_id", "label", "name", tx.entity_id("label", "name").alias("id"), "present")
 
 
 def entity_nodes(chunks: DataFrame) -> DataFrame:
@@ -67,24 +68,24 @@ def mention_edges(chunks: DataFrame) -> DataFrame:
 
 
 def _interactions(chunks: DataFrame) -> DataFrame:
-    """Interactions all of whose participants are known characters: chunk_id, sequence, pos, ids (in order), location_id, members."""
-    known = mentions(chunks).select("label", "name", "id").distinct()
-    characters = known.where("label = 'Character'").select(F.col("name").alias("person"), F.col("id").alias("person_id"))
-    places = known.where("label = 'Location'").select(F.col("name").alias("place"), F.col("id").alias("place_id"))
-    each = chunks.select("chunk_id", "sequence", F.posexplode("interactions").alias("pos", "x")).where(F.size("x.participants") > 0)
-    people = each.select("chunk_id", "sequence", "pos", "x", F.posexplode("x.participants").alias("k", "raw")).withColumn("person", tx.strip(F.coalesce("raw", F.lit(""))))
-    found = people.join(characters, "person", "left").groupBy("chunk_id", "sequence", "pos").agg(
+    """Interactions all of whose participants are known characters of their document: chunk_id, sequence, pos, ids (in order), location_id, members."""
+    known = mentions(chunks).where("document_id is not null").select("document_id", "label", "name", "id").distinct()
+    characters = known.where("label = 'Character'").select("document_id", F.col("name").alias("person"), F.col("id").alias("person_id"))
+    places = known.where("label = 'Location'").select("document_id", F.col("name").alias("place"), F.col("id").alias("place_id"))
+    each = chunks.select("document_id", "chunk_id", "sequence", F.posexplode("interactions").alias("pos", "x")).where(F.size("x.participants") > 0)
+    people = each.select("document_id", "chunk_id", "sequence", "pos", "x", F.posexplode("x.participants").alias("k", "raw")).withColumn("person", tx.strip(F.coalesce("raw", F.lit(""))))
+    found = people.join(characters, ["document_id", "person"], "left").groupBy("document_id", "chunk_id", "sequence", "pos").agg(
         F.bool_and(F.col("person_id").isNotNull()).alias("all_known"), F.sort_array(F.collect_list(F.struct("k", "person_id"))).alias("members"), F.first(F.struct("x.type", "x.location", "x.summary", "x.topic")).alias("x")
     )
     ids = F.transform("members", lambda m: m["person_id"])
-    rows = found.where("all_known").select("chunk_id", "sequence", "pos", ids.alias("ids"), "x", tx.strip("x.location").alias("place"))
-    return rows.join(places, "place", "left").select("chunk_id", "sequence", "pos", "ids", "x", F.col("place_id").alias("location_id"))
+    rows = found.where("all_known").select("document_id", "chunk_id", "sequence", "pos", ids.alias("ids"), "x", tx.strip("x.location").alias("place"))
+    return rows.join(places, ["document_id", "place"], "left").select("chunk_id", "sequence", "pos", "ids", "x", F.col("place_id").alias("location_id"))
 
 
 def interaction_edges(chunks: DataFrame) -> DataFrame:
     """INTERACTED_WITH between the first two participants, ends in order, the first of those with the same ends, chunk and summary; PRESENT_AT_INTERACTION of every participant at a known location.
 
-    chunks: chunk_id, sequence, characters, locations, organizations, interactions; one row a chunk.
+    chunks: document_id, chunk_id, sequence, characters, locations, organizations, interactions; one row a chunk.
     """
     rows = _interactions(chunks).where(F.size("ids") >= 2)
     a, b = F.element_at("ids", 1), F.element_at("ids", 2)
@@ -109,6 +110,19 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return heads.join(values, "id", "left").select("id", "labels", "name", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
 
 
+def canonical_keys(nodes: DataFrame) -> DataFrame:
+    """Nodes with merge_label and merge_key, by which a store tells them apart: documents by document_id, structure units by structure_id, entities by name, others by id."""
+    p, label = F.col("properties"), F.element_at("labels", 1)
+    key = F.when(label == "Document", p["document_id"]).when(p["structure_id"].isNotNull(), p["structure_id"]).when(label.isin(*[kind for _, kind in KINDS]), F.col("name")).otherwise(F.col("id"))
+    return nodes.withColumn("merge_label", label).withColumn("merge_key", F.coalesce(key, F.col("id")))
+
+
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges of both, those that are the same once: by ends, type and properties."""
+    rows = old.unionByName(new)
+    return rows.withColumn("_p", F.to_json(F.array_sort(F.map_entries("properties")))).dropDuplicates(["src", "dst", "type", "_p"]).drop("_p")
+
+
 def linked_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both nodes."""
     ids = nodes.select("id").distinct()

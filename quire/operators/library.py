@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.chunking import reconstruct, token_windows
 from quire.operators.statistics import ranked
+from quire.plans.session import written
 
 DOCUMENT_COLUMNS = ("document_id", "doc_name", "subject", "date_added", "start_chunk_id", "end_chunk_id", "chunk_overlap", "file_path")
 
@@ -141,5 +142,20 @@ def drop_all(spark: SparkSession, *tables: str, allowed: tuple[str, ...], confir
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def reset(spark: SparkSession, documents: str, chunks: str, new_documents: DataFrame, new_chunks: DataFrame, *, allowed: tuple[str, ...], confirm: bool = False) -> None:
+    """Drops both tables, creates them anew and loads them with the new documents alone. Needs confirmation."""
+    setup(spark, documents, chunks, allowed=allowed, overwrite=True, confirm=confirm)
+    empty = spark.table(documents).limit(0), spark.table(chunks).limit(0)
+    for name, df in zip((documents, chunks), add_documents(*empty, new_documents, new_chunks), strict=True):
+        held = written(df.select(*spark.table(name).columns))
+        held.write.mode("append").insertInto(name)
+
+
+def log_answers(answered: DataFrame, path: str) -> None:
+    """Appends questions and answers (q_id, question, context, answer) to the log table at ``path``, contexts in ASCII, with the time."""
+    rows = answered.select(F.col("q_id").cast("string").alias("q_id"), "question", tx.ascii_only(F.coalesce("context", F.lit(""))).alias("context"), F.coalesce("answer", F.lit("")).alias("answer"), F.current_timestamp().alias("logged_at"))
+    rows.write.mode("append").parquet(path)
+
+
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())

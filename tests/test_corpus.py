@@ -31,7 +31,7 @@ def chunks(spark):
     ]
     raw = spark.createDataFrame(rows, "row_id bigint, chunk_id string, sequence int, analysis string")
     read = an.read_chunks(raw).withColumnRenamed("key", "row_id")
-    return raw.drop("analysis").join(read, "row_id").cache()
+    return raw.drop("analysis").withColumn("document_id", F.lit("d")).join(read, "row_id").cache()
 
 
 def test_reading_keeps_every_row(chunks):
@@ -56,6 +56,20 @@ def test_edges(chunks):
     assert kinds["character_mr_darcy", "c1"] == "PRESENT_IN" and kinds["character_mr_darcy", "c2"] == "MENTIONED_IN"
 
 
+def test_participants_must_be_characters_of_their_own_document(spark):
+    met = {"participants": ["Ada", "Bo"], "location": "Bath", "summary": "s"}
+    rows = [(1, "d1", "c1", 0, _chunk(["Ada", "Bo"], [met], ["Bath"])), (2, "d2", "c2", 0, _chunk(["Ada"], [met], ["Bath"])), (3, "d3", "c3", 0, _chunk(["Ada", "Bo"], [met])), (4, None, "c4", 0, _chunk(["Ada", "Bo"], [met]))]
+    raw = spark.createDataFrame(rows, "row_id bigint, document_id string, chunk_id string, sequence int, analysis string")
+    chunks = raw.drop("analysis").join(an.read_chunks(raw).withColumnRenamed("key", "row_id"), "row_id")
+    got = sorted((r.type, r.properties["source_chunk_id"], r.properties.get("location_id")) for r in g.interaction_edges(chunks).collect())
+    assert [x for x in got if x[0] == "INTERACTED_WITH"] == [("INTERACTED_WITH", "c1", "location_bath"), ("INTERACTED_WITH", "c3", None)]
+    assert len(got) == 4
+    keys = {(r.merge_label, r.merge_key) for r in g.canonical_keys(g.entity_nodes(chunks)).collect()}
+    assert keys == {("Character", "Ada"), ("Character", "Bo"), ("Location", "Bath")}
+    edges = g.interaction_edges(chunks)
+    assert g.merge_edges(edges, edges).count() == 4
+
+
 def test_document_and_structure(spark):
     raw = spark.createDataFrame([(1, json.dumps([{"type": "Chapter/Part", "number": 3}, None, {"title": "T"}]))], "row_id bigint, structure string")
     docs = spark.createDataFrame([(1, "d", None, None)], "key bigint, document_id string, document_type string, overall_summary string").join(an.read_structures(raw), "key")
@@ -95,9 +109,9 @@ def test_providers_keep_rows_and_errors(spark):
     rows = {r.id: r for r in an.analyse(df, "id", "prompt", _flaky, attempts=2).collect()}
     assert {k: r.analysis_status for k, r in rows.items()} == {"1": "success", "2": "error", "3": "error", "4": "error"}
     assert rows["2"].analysis_error == "RuntimeError: no"
-    vectors = {r.key: r.vector for r in an.embed(df, "id", "prompt", lambda s: an.offline_vector(_flaky(s)), on_failure="zero").collect()}
+    vectors = {r.key: r.vector for r in an.embed(df, "id", "prompt", lambda texts: [an.offline_vector(_flaky(s)) for s in texts], on_failure="zero").collect()}
     assert vectors["2"] == [0.0] * 64 and sum(x * x for x in vectors["1"]) == pytest.approx(1)
-    assert {r.key for r in an.embed(df, "id", "prompt", lambda s: an.offline_vector(_flaky(s))).collect()} == {"1", "3"}
+    assert {r.key for r in an.embed(df, "id", "prompt", lambda texts: [an.offline_vector(_flaky(s)) for s in texts]).collect()} == {"1", "3"}
     failed = spark.createDataFrame([(None,), ("{}",), ('{"error": 1}',), ('{"x": 1}',), ("x",)], "r string").select(an.reduce_failed(F.col("r")).alias("f")).collect()
     assert [r.f for r in failed] == [True, True, True, False, True]
 

@@ -71,12 +71,44 @@ def test_stages_run_and_resume(spark, folder, tmp_path):
     assert run.load("embeddings").count() == run.load("chunks").count() > 3
     assert {"character_mary", "character_john", "Book One", "latin"} == {r.id for r in run.load("nodes").collect()}
     again = Run(spark, str(tmp_path / "stages"), Providers(chunk=_chunk_answer))
-    assert set(again.run(start=Stage.EMBEDDINGS)) == {"nodes", "edges"}
-    assert set(Run(spark, str(tmp_path / "stages")).run(start=Stage.DETAILED_ANALYSIS)) == {"embeddings", "nodes", "edges"}
+    stored = {f"stored/{x}" for x in ("vectors", "nodes", "edges", "chunks")}
+    assert set(again.run(start=Stage.EMBEDDINGS)) == {"nodes", "edges", *stored}
+    assert set(Run(spark, str(tmp_path / "stages")).run(start=Stage.GRAPH)) == stored
+    held = {x: writers.current_version(spark, str(tmp_path / "stages" / "stored" / x)) for x in ("vectors", "nodes", "edges", "chunks")}
+    assert held["vectors"].count() == held["chunks"].count() == run.load("chunks").count()  # stored three times, there once
+    assert {r.id for r in held["nodes"].collect()} == {"character_mary", "character_john", "Book One", "latin"} and held["edges"].count() == run.load("edges").count() > 0
+    assert held["vectors"].columns == ["chunk_id", "vector", "text", "document_id", "sequence", "structure_ref"]
     with pytest.raises(ValueError, match="no text"):
         Run(spark, str(tmp_path / "none")).run(source.limit(0))
 
 
+def test_stages_keep_any_document_id(spark, tmp_path):
+    source = spark.createDataFrame([("a#1", "CHAPTER 1\n" + "One went home. " * 40 + "\nCHAPTER 2\n" + "Two came back. " * 40), ("a", "Three stayed. " * 40)], "document_id string, text string")
+    run = Run(spark, str(tmp_path / "odd"), Providers(chunk=_chunk_answer), target=100, overlap=10)
+    run.run(source)
+    assert {r.document_id for r in run.load("doc_analyses").collect()} == {"a#1", "a"}
+    assert {r.id for r in run.load("nodes").collect()} >= {"a#1", "a"}
+
+
+def test_log_and_reset(spark, tmp_path):
+    from quire.operators import library as lib
+
+    rows = spark.createDataFrame([(1, "q?", "caf\u00e9", None)], "q_id int, question string, context string, answer string")
+    for _ in range(2):
+        lib.log_answers(rows, str(tmp_path / "log"))
+    assert [(r.q_id, r.context, r.answer) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [("1", "caf", "")] * 2
+    docs = spark.createDataFrame([("d", "Name", None, None, 0, None, 0)], "document_id string, doc_name string, subject string, date_added timestamp_ntz, chunk_overlap int, file_path string, doc_order int")
+    chunks = spark.createDataFrame([("d", 0, 0, "x"), ("d", 0, 1, "y")], "document_id string, doc_order int, sequence int, text string")
+    names = ("reset_docs", "reset_chunks")
+    with pytest.raises(PermissionError):
+        lib.reset(spark, *names, docs, chunks, allowed=names)
+    for _ in range(2):
+        lib.reset(spark, *names, docs, chunks, allowed=names, confirm=True)
+    assert [(r.chunk_num, r.text) for r in spark.table("reset_chunks").orderBy("chunk_num").collect()] == [(0, "x"), (1, "y")]
+    assert [(r.doc_name, r.end_chunk_id) for r in spark.table("reset_docs").collect()] == [("Name", 1)]
+    lib.drop_all(spark, *names, allowed=names, confirm=True)
+
+
 def test_streams(spark, folder, tmp_path, data):
     def keep():
         ingest.keep(ingest.arriving_documents(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()

@@ -144,3 +144,16 @@ def test_context_listing_and_tables(spark):
         lib.drop_all(spark, "t_docs", allowed=("t_docs",), confirm=False)
     lib.drop_all(spark, "t_docs", "t_chunks", allowed=("t_docs", "t_chunks"), confirm=True)
     assert "t_docs" not in lib.tables(spark)
+
+
+def test_chunks_by_a_tokenizer(spark):
+    encode, decode = lambda s: [ord(c) for c in s], lambda ids: "".join(map(chr, ids))
+    df = spark.createDataFrame([("a", "abcdefghij"), ("b", "abc"), ("c", ""), ("d", None)], "k string, t string")
+    rows = ch.tokenizer_windows(df, "k", "t", encode, decode, size=4, overlap=1).orderBy("key", "chunk_index").collect()
+    assert [(r.key, r.text) for r in rows] == [("a", "abcd"), ("a", "defg"), ("a", "ghij"), ("b", "abc")]
+    text = " ".join(f"word{i}" for i in range(60))
+    by_words = list(ch.pack(text, 10, 2, size=lambda s: len(s.split())))
+    assert by_words and all(len(c.split()) <= 25 for c, *_ in by_words)
+    assert len(by_words) != len(list(ch.pack(text, 10, 2)))
+    blocks = spark.createDataFrame([("d", 0, text, "Chapter", None)], "key string, block_index int, text string, type string, structural_marker string")
+    assert ch.adaptive_chunks(blocks, target=10, overlap=2, size=lambda s: len(s.split())).count() == len(by_words)
