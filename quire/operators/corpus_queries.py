@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import analyses as an
-from quire.operators import answering
+from quire.operators import answering, corpus_sql
 from quire.operators import graph as g
 from quire.operators import library as lib
 from quire.operators import retrieval as rt
 from quire.plans.session import cut, table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(corpus_sql.SQL)
 
 
 def _query(name: str, sql: str | None = None):

@@ -9,9 +9,9 @@ def _value(t: str) -> str:
     return f"CASE WHEN json_valid({t}) THEN {t} WHEN json_valid({inner}) THEN {inner} END"
 
 
-def readable(source: str, text: str, name: str = "root") -> str:
-    """CTEs that end in ``name``: the rows of ``source`` (a table or a CTE, with ``text``) and v, the value of the text, null where there is none. JSON encoded as a JSON string is decoded again."""
-    steps = [f"{name}_0 AS (SELECT *, {_value(text)} AS v FROM {source})"]
+def readable(source: str, name: str = "root") -> str:
+    """CTEs that end in ``name``: the rows of ``source`` (a table or a query in brackets, with ``text``) and v, the value of the text, null where there is none. JSON encoded as a JSON string is decoded again."""
+    steps = [f"{name}_0 AS (SELECT *, {_value('text')} AS v FROM {source})"]
     for i in range(1, 4):
         again = f"CASE WHEN json_type(v) = 'VARCHAR' THEN {_value('json_extract_string(v, chr(36))')} ELSE v END"
         steps.append(f"{name}_{i} AS (SELECT * REPLACE ({again} AS v) FROM {name}_{i - 1})")
