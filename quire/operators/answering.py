@@ -37,11 +37,16 @@ def contexts(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, *, k:
     return hit.unionByName(text)
 
 
-def answer(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, provider: Callable[[str], str], *, k: int = 10) -> DataFrame:
-    """q_id, prompt, found_by, answer, status, error. questions: q_id, conversation, turn, question, vector."""
+def prompts(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, *, k: int = 10) -> DataFrame:
+    """q_id, prompt, found_by. questions: q_id, conversation, turn, question, vector."""
     context = contexts(questions, vectors, chunks, k=k)
     past = lib.history(questions, "conversation", "turn", "question")
     rows = questions.select("q_id", "conversation", "turn", "question").join(past, ["conversation", "turn"]).join(context, "q_id", "left")
-    prompts = rows.select(F.col("q_id").cast("string").alias("q_id"), lib.answer_prompt(F.col("history"), F.col("context"), F.col("question")).alias("prompt"), "found_by")
-    answered = an.analyse(prompts, "q_id", "prompt", provider)
-    return prompts.join(answered, "q_id").select("q_id", "prompt", "found_by", F.col("analysis").alias("answer"), F.col("analysis_status").alias("status"), F.col("analysis_error").alias("error"))
+    return rows.select(F.col("q_id").cast("string").alias("q_id"), lib.answer_prompt(F.col("history"), F.col("context"), F.col("question")).alias("prompt"), "found_by")
+
+
+def answer(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, provider: Callable[[str], str], *, k: int = 10) -> DataFrame:
+    """q_id, prompt, found_by, answer, status, error. questions: q_id, conversation, turn, question, vector."""
+    asked = prompts(questions, vectors, chunks, k=k)
+    answered = an.analyse(asked, "q_id", "prompt", provider)
+    return asked.join(answered, "q_id").select("q_id", "prompt", "found_by", F.col("analysis").alias("answer"), F.col("analysis_status").alias("status"), F.col("analysis_error").alias("error"))

@@ -227,14 +227,35 @@ def search_context(spark, d):
     return rows.select("q_id", F.array_join(F.transform("c", lambda x: x["line"]), "\n").alias("context"))
 
 
-@_query("search_answers")
-def search_answers(spark, d):
-    """A question for each label, with its mean vector, answered from the chunks by an offline provider."""
+def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A question for each label, with its mean vector; vectors of chunks; chunks."""
     chunks = lib.once(table(spark, d, "chunks"), ["chunk_id"], "ingested_at", "row_id")
     ids = chunks.select("chunk_id").join(table(spark, d, "embeddings_dict").select("chunk_id").distinct(), "chunk_id")
     vectors = table(spark, d, "embeddings_dict").groupBy("chunk_id").agg(F.first("vector_values", True).alias("vector")).join(ids, "chunk_id").where("size(vector) = 64")
     centres = _centres(spark, d).select(F.col("q_id"), F.lit("library").alias("conversation"), F.col("q_id").alias("turn"), F.concat(F.lit("What is said of topic "), F.col("q_id").cast("string"), F.lit("?")).alias("question"), "vector")
-    return answering.answer(centres, vectors, chunks, an.offline_block)
+    return centres, vectors, chunks
+
+
+@_query("search_answers")
+def search_answers(spark, d):
+    """The questions answered from the chunks by an offline provider."""
+    return answering.answer(*_questions(spark, d), an.offline_block)
+
+
+@_query("search_prompts", """
+    WITH c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) = 1),
+    q AS (SELECT label AS q_id, list_transform(range(1, 65), lambda i: list_avg(list_transform(list(embedding), lambda e: e[i]::DOUBLE))) AS v FROM embeddings GROUP BY 1),
+    e AS (SELECT chunk_id, any_value(vector_values)::DOUBLE[] AS w FROM embeddings_dict SEMI JOIN c USING (chunk_id) GROUP BY 1 HAVING len(any_value(vector_values)) = 64),
+    s AS (SELECT q_id, chunk_id, list_cosine_similarity(v, w) AS similarity FROM q, e WHERE NOT list_contains(list_transform(w, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true) AND list_sum(list_transform(w, lambda x: x * x)) > 0),
+    r AS (SELECT q_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, chunk_id) <= 10),
+    p AS (SELECT q_id, coalesce(document_id, 'Unknown') AS document_id, string_agg(chunk_num || ': ' || coalesce(text, ''), chr(10) ORDER BY chunk_num, text) AS lines FROM r JOIN c USING (chunk_id) GROUP BY 1, 2),
+    x AS (SELECT q_id, string_agg('Document ' || document_id || ':' || chr(10) || lines, chr(10) || chr(10) ORDER BY document_id) AS context FROM p GROUP BY 1),
+    h AS (SELECT q_id, 'What is said of topic ' || q_id || '?' AS question, string_agg('What is said of topic ' || q_id || '?', chr(10)) OVER (ORDER BY q_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS history FROM q)
+    SELECT q_id::VARCHAR AS q_id, concat_ws(chr(10) || chr(10), history, context, question) AS prompt, 'similarity' AS found_by FROM h JOIN x USING (q_id)
+""")
+def search_prompts(spark, d):
+    """What the questions are answered from: earlier questions, chunks found, the question."""
+    return answering.prompts(*_questions(spark, d))
 
 
 def _vectors(spark, d) -> DataFrame:

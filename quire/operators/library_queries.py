@@ -89,12 +89,19 @@ def text_capitalize(spark, d):
     return table(spark, d, "library_docs").select("document_id", tx.capitalize("subject").alias("subject"))
 
 
-@_query("text_truncate")
+@_query("text_truncate", f"""
+    WITH h AS (SELECT row_id, text, regexp_extract(left(text, 401), '(?s)^(.*[.!?]["’”'']?{_SPACES})', 1) AS sentence, regexp_replace(left(text, 400), '{_SPACES}+$', '') AS head FROM chunks)
+    SELECT row_id, CASE WHEN length(text) <= 400 THEN {_sql_strip("text")} WHEN length(sentence) > 0 THEN {_sql_strip("sentence")}
+                        WHEN length(regexp_extract(head, '(?s)^(.*) ', 1)) > 200 THEN {_sql_strip("regexp_extract(head, '(?s)^(.*) ', 1)")} ELSE head END AS text FROM h
+""")
 def text_truncate(spark, d):
     return table(spark, d, "chunks").select("row_id", tx.truncate("text", 400).alias("text"))
 
 
-@_query("text_sentence_start")
+@_query("text_sentence_start", f"""
+    WITH h AS (SELECT row_id, text, regexp_extract(text, '(?s)[.?!]["’”'']?{_SPACES}+([A-Z].*)$', 1) AS sentence, regexp_extract(text, '(?s){_SPACES}+([A-Za-z].*)$', 1) AS word FROM chunks)
+    SELECT row_id, CASE WHEN length(sentence) > 0 THEN sentence WHEN length(word) > 0 THEN word ELSE text END AS text FROM h
+""")
 def text_sentence_start(spark, d):
     return table(spark, d, "chunks").select("row_id", tx.sentence_start("text").alias("text"))
 
@@ -132,34 +139,116 @@ _PIECES = """
 """
 
 
+_SCENE = f"\\n{_SPACES}*\\n{_SPACES}*\\n+"
+_JAVA_SCENE = "\\n[\\s\\x{0B}]*\\n[\\s\\x{0B}]*\\n+"
+
+
+def _windows_sql(source: str, target: int, most: int, name: str) -> str:
+    """CTEs that end in ``name``: blocks between sentence or line ends, of (key, text)."""
+    rest = f"substr(text, a + {target} + 1)"
+    end = f"CASE WHEN strpos({rest}, '. ') > 0 THEN a + {target} + strpos({rest}, '. ') - 1 WHEN strpos({rest}, chr(10)) > 0 THEN a + {target} + strpos({rest}, chr(10)) - 1 ELSE least(length(text), a + {most}) END"
+    return f"""
+        {name}_w AS (
+            SELECT key, text, a, {end} AS b FROM (SELECT key, text, 0::BIGINT AS a FROM {source})
+            UNION ALL SELECT key, text, a, {end} AS b FROM (SELECT key, text, b + 1 AS a FROM {name}_w WHERE b + 1 < length(text))),
+        {name} AS (
+            SELECT key, (row_number() OVER (PARTITION BY key ORDER BY a) - 1)::INT AS block_index, substr(text, a + 1, b - a) AS raw, a AS start_char FROM {name}_w WHERE {_sql_strip("substr(text, a + 1, b - a)")} <> '')"""
+
+
+def _fallback(name: str) -> str:
+    clean = _sql_strip(_CLEAN.replace("replace(text,", "replace(raw,", 1))
+    return f"SELECT key, block_index, {clean} AS text, 'FallbackBlock' AS type, 'Block ' || (block_index + 1) AS ref, 'FallbackBlock ' || (block_index + 1) AS structural_marker, start_char FROM {name}"
+
+
+_TARGET, _OVERLAP = 200, 20
+_ADAPTIVE = f"""
+    WITH RECURSIVE b AS (
+        SELECT document_id AS key, block_index AS block, block_type, structural_marker, text FROM large_blocks
+        QUALIFY row_number() OVER (PARTITION BY document_id, block_index ORDER BY ingested_at DESC NULLS LAST, row_id DESC) = 1),
+    s AS (
+        SELECT key, block, block_type, structural_marker, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS scene
+        FROM (SELECT *, string_split_regex(text, '{_SCENE}') AS parts FROM b WHERE key IS NOT NULL AND block IS NOT NULL AND length(text) > 0)),
+    start AS (
+        SELECT key, block, block_type, structural_marker, scene, list_filter(list_transform(string_split(part, chr(10)), lambda x: {_sql_strip("x")}), lambda x: x <> '') AS lines FROM s),
+    -- one step of packing a row: its phase is 0 before a paragraph, 1 after one was taken
+    t AS (
+        SELECT key, block, scene, lines, 0::BIGINT AS step, 0 AS phase, 0::BIGINT AS i, '' AS buffer, 0::BIGINT AS first, false AS fresh, NULL::VARCHAR AS given, 0::BIGINT AS a, 0::BIGINT AS z, false AS divided FROM start
+        UNION ALL
+        SELECT key, block, scene,
+               CASE WHEN act = 'cut' AND rest <> '' THEN lines[:i] || [rest] || lines[i + 2:] ELSE lines END,
+               step + 1,
+               CASE WHEN act IN ('over', 'take') THEN 1 ELSE 0 END,
+               CASE WHEN act IN ('over', 'take') OR act = 'cut' AND rest = '' THEN i + 1 ELSE i END,
+               CASE act WHEN 'out' THEN tail WHEN 'drop' THEN '' WHEN 'cut' THEN '' WHEN 'over' THEN {_sql_strip("tail || ' ' || p")} WHEN 'take' THEN {_sql_strip("buffer || ' ' || p")} ELSE buffer END,
+               CASE WHEN act IN ('out', 'over') THEN i WHEN act = 'cut' THEN CASE WHEN rest = '' THEN i + 1 ELSE i END ELSE first END,
+               CASE act WHEN 'out' THEN false WHEN 'over' THEN true WHEN 'take' THEN true ELSE fresh END,
+               CASE act WHEN 'out' THEN buffer WHEN 'over' THEN buffer WHEN 'cut' THEN head END,
+               CASE act WHEN 'cut' THEN i + 1 ELSE first + 1 END, CASE act WHEN 'cut' THEN i + 1 ELSE i END, act = 'cut'
+        FROM (
+            SELECT *, CASE WHEN taken > 0 THEN array_to_string(words[:taken], ' ') ELSE left(p, 4 * {int(2.5 * _TARGET)}) END AS head,
+                   CASE WHEN taken > 0 THEN array_to_string(words[taken + 1:], ' ') ELSE {_sql_strip(f"substr(p, 4 * {int(2.5 * _TARGET)} + 1)")} END AS rest
+            FROM (
+                SELECT *, CASE WHEN act = 'cut' THEN len(list_filter(range(1, len(words) + 1), lambda k: length(array_to_string(words[:k], ' ')) // 4 <= {int(2.5 * _TARGET)})) ELSE 0 END AS taken
+                FROM (
+                    SELECT *, CASE WHEN phase = 1 THEN CASE WHEN length(buffer) // 4 >= {_TARGET} THEN 'out' ELSE 'on' END
+                                   WHEN length(buffer) // 4 + length(p) // 4 > {int(2.5 * _TARGET)} THEN CASE WHEN buffer <> '' AND fresh THEN 'out' WHEN buffer <> '' THEN 'drop' ELSE 'cut' END
+                                   WHEN fresh AND length(buffer) // 4 + length(p) // 4 > 1.2 * {_TARGET} THEN 'over' ELSE 'take' END AS act,
+                           array_to_string(kept[greatest(1, len(kept) - {_OVERLAP - 1}):], ' ') AS tail
+                    FROM (SELECT *, coalesce(lines[i + 1], '') AS p, string_split_regex({_sql_strip("coalesce(lines[i + 1], '')")}, '{_SPACES}+') AS words, string_split_regex({_sql_strip("buffer")}, '{_SPACES}+') AS kept FROM t WHERE i < len(lines) OR phase = 1))))),
+    out AS (
+        SELECT key, block, scene, step, given, a, z, divided FROM t WHERE given IS NOT NULL
+        UNION ALL
+        SELECT key, block, scene, step + 1, buffer, least(first + 1, greatest(len(lines), 1)), len(lines), false FROM t WHERE phase = 0 AND i >= len(lines) AND length({_sql_strip("buffer")}) > 100)
+    SELECT sha256(key || '|' || sequence) AS chunk_id, key, sequence, structure_type, structure_ref, text FROM (
+        SELECT key, row_number() OVER (PARTITION BY key ORDER BY block, scene, step) - 1 AS sequence, coalesce(nullif(block_type, ''), 'UnknownType') AS structure_type,
+               coalesce(nullif(structural_marker, ''), 'Unknown') || ' / Scene ' || scene || ' / Paras ' || a || '-' || z || CASE WHEN divided THEN ' (split)' ELSE '' END AS structure_ref, given AS text
+        FROM out JOIN b USING (key, block))
+"""
+
+
 @_query("chunk_markers", _PIECES + "SELECT * FROM m")
 def chunk_markers(spark, d):
     return ch.markers(table(spark, d, "documents"), "doc_id", "text")
 
 
-@_query("chunk_coarse_blocks")
-def chunk_coarse_blocks(spark, d):
-    return ch.coarse_blocks(table(spark, d, "documents"), "doc_id", "text")
-
-
-@_query("chunk_structural_blocks", _PIECES + f"""
+_STRUCTURAL = _PIECES + f"""
     , u AS (SELECT *, sum(accepted::INT) OVER (PARTITION BY key ORDER BY i) AS unit, max(accepted) OVER (PARTITION BY key) AS has FROM m),
     g AS (SELECT key, unit, string_agg(match || gap, '' ORDER BY i) AS text, any_value(match) FILTER (accepted) AS match, min(start_char) AS start_char FROM u WHERE has GROUP BY 1, 2),
     k AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY unit) - 1)::INT AS block_index,
                  coalesce(upper(match[1]) || lower(regexp_extract(match, '^[A-Za-z]+')[2:]), 'DetectedStructure') AS type, coalesce(regexp_extract(match, '\\s+(.*)$', 1), 'Unit ' || (unit + 1)::BIGINT) AS ref
-          FROM g WHERE length({_sql_strip('text')}) > 0)
-    SELECT key, block_index, {_sql_strip(_CLEAN)} AS text, type, ref, type || ' ' || ref AS structural_marker, start_char FROM k
-""")
+          FROM g WHERE length({_sql_strip('text')}) > 0),
+    st AS (SELECT key, block_index, {_sql_strip(_CLEAN)} AS text, type, ref, type || ' ' || ref AS structural_marker, start_char FROM k)
+"""
+
+
+@_query("chunk_structural_blocks", _STRUCTURAL + "SELECT * FROM st")
 def chunk_structural_blocks(spark, d):
     return ch.structural_blocks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@_query("chunk_fallback_blocks")
+@_query("chunk_coarse_blocks", _STRUCTURAL.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + f"""
+    , plain AS (SELECT doc_id::VARCHAR AS key, text FROM documents WHERE length(text) > 0 AND doc_id::VARCHAR NOT IN (SELECT key FROM st)), {_windows_sql("plain", 200_000, 250_000, "fb")}
+    SELECT * FROM st UNION ALL {_fallback("fb")}
+""")
+def chunk_coarse_blocks(spark, d):
+    return ch.coarse_blocks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@_query("chunk_fallback_blocks", f"""
+    WITH RECURSIVE plain AS (SELECT doc_id::VARCHAR AS key, text FROM documents WHERE length(text) > 0), {_windows_sql("plain", 2000, 2500, "fb")}
+    {_fallback("fb")}
+""")
 def chunk_fallback_blocks(spark, d):
     return ch.fallback_blocks(table(spark, d, "documents"), "doc_id", "text", tokens=500, least=100)
 
 
-@_query("chunk_scenes")
+@_query("chunk_scenes", f"""
+    WITH p AS (SELECT row_id::VARCHAR AS key, start_char AS first, string_split_regex(text, '{_JAVA_SCENE}') AS parts, regexp_extract_all(text, '{_JAVA_SCENE}') AS breaks FROM large_blocks WHERE length(text) > 0),
+    e AS (SELECT key, first, unnest(parts) AS part, unnest([''] || breaks) AS gap, unnest(range(len(parts))) AS i FROM p),
+    o AS (SELECT *, first + length(gap) + coalesce(sum(length(part) + length(gap)) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM e)
+    SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i) - 1)::INT AS piece_index, {_sql_strip("part")} AS text, pos + lead AS start_char, pos + lead + length({_sql_strip("part")}) AS end_char
+    FROM (SELECT *, length(part) - length(regexp_replace(part, '^{_SPACES}+', '')) AS lead FROM o) WHERE length({_sql_strip("part")}) > 0
+""")
 def chunk_scenes(spark, d):
     return ch.scene_pieces(table(spark, d, "large_blocks"), "row_id", "text", "start_char")
 
@@ -172,10 +261,10 @@ def chunk_paragraphs(spark, d):
     return ch.paragraphs(table(spark, d, "large_blocks"), "row_id", "text")
 
 
-@_query("chunk_adaptive")
+@_query("chunk_adaptive", _ADAPTIVE)
 def chunk_adaptive(spark, d):
     blocks = lib.once(table(spark, d, "large_blocks"), ["document_id", "block_index"], "ingested_at", "row_id")
-    return ch.adaptive_chunks(blocks, key="document_id", kind="block_type", target=200, overlap=20)
+    return ch.adaptive_chunks(blocks, key="document_id", kind="block_type", target=_TARGET, overlap=_OVERLAP)
 
 
 @_query("chunk_token_windows", f"""

@@ -153,7 +153,15 @@ def differentiable_quantile(spark, d):
     return _rounded(st.differentiable_quantile(_lines(spark, d), FLAG, "l_discount", 0.5), 8, "quantile")
 
 
-@_query("stat_soft_percentile_count")
+@_query("stat_soft_percentile_count", """
+    WITH RECURSIVE v AS (SELECT l_returnflag, l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    b AS (
+        SELECT l_returnflag, 0 AS i, min(x) AS low, max(x) AS high, sum(n) AS total FROM v GROUP BY 1
+        UNION ALL
+        SELECT l_returnflag, i + 1, CASE WHEN above THEN (low + high) / 2 ELSE low END, CASE WHEN above THEN high ELSE (low + high) / 2 END, total
+        FROM (SELECT *, (SELECT sum(v.n / (1 + exp(-10 * (v.x - (b.low + b.high) / 2)))) FROM v WHERE v.l_returnflag = b.l_returnflag) / total > 0.3 AS above FROM b WHERE i < 20))
+    SELECT l_returnflag, round((low + high) / 2, 4) AS threshold FROM b WHERE i = 20
+""")
 def soft_percentile_count(spark, d):
     return _rounded(st.soft_percentile_count(_lines(spark, d), FLAG, "l_quantity", 0.3), 4, "threshold")
 
