@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import encoding, lookalikes, mixing, names, neighbours, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
+from quire.operators import json_sql as js
 from quire.plans.session import cut, table
 
 
@@ -130,7 +131,42 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_search": p6_search, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
 
+_PAIRS = f"""
+    WITH c AS (SELECT document_id, chunk_id, any_value(analysis) AS text FROM chunks_with_analysis WHERE analysis_status = 'success' AND chunk_id IS NOT NULL AND document_id IS NOT NULL AND analysis IS NOT NULL GROUP BY 1, 2, analysis),
+    {js.readable("c")},
+    {js.objects("root")},
+    once AS (SELECT document_id, chunk_id, any_value(v) AS v FROM object GROUP BY 1, 2),
+    r AS (SELECT document_id, chunk_id, unnest(held) AS x, unnest(range(len(held))) AS i FROM (SELECT document_id, chunk_id, {js.elements("json_extract(v, '$.relationships_interactions')")} AS held FROM once)),
+    records AS (SELECT * FROM r WHERE json_type(x) <> 'NULL'),
+    items AS (SELECT DISTINCT document_id, chunk_id, i, {js.name_of("y")} AS item FROM (SELECT document_id, chunk_id, i, unnest({js.elements(js.member("x", "participants"))}) AS y FROM records) WHERE {js.name_of("y")} IS NOT NULL),
+    total AS (SELECT document_id, count(*) AS n FROM records GROUP BY 1),
+    one AS (SELECT document_id, item, count(*) AS n FROM items GROUP BY 1, 2),
+    pairs AS (SELECT document_id, a.item AS participant_a, b.item AS participant_b, count(*) AS n_ab FROM items a JOIN items b USING (document_id, chunk_id, i) WHERE a.item < b.item GROUP BY 1, 2, 3),
+    counted AS (
+        SELECT document_id, participant_a, participant_b, n_ab, a.n AS n_a, b.n AS n_b, t.n AS n FROM pairs p JOIN total t USING (document_id)
+        JOIN one a ON a.document_id = p.document_id AND a.item = participant_a JOIN one b ON b.document_id = p.document_id AND b.item = participant_b)
+"""
+
 SQL = {
+    "p3_found": _PAIRS + "SELECT document_id, participant_a, participant_b FROM counted WHERE n_ab >= 5 AND n_ab * n >= 3 * n_a * n_b",
+    "p3_pairs": _PAIRS + """
+        SELECT *, n_ab::DOUBLE * n / (n_a::DOUBLE * n_b) AS lift, ((n_ab::DOUBLE + 0.5) * (n::DOUBLE - n_a - n_b + n_ab + 0.5)) / ((n_a::DOUBLE - n_ab + 0.5) * (n_b::DOUBLE - n_ab + 0.5)) AS odds_ratio FROM counted
+    """,
+    "p6_found": """
+        WITH e AS (
+            SELECT chunk_id, any_value(vector_values)::DOUBLE[64] AS v FROM embeddings_dict
+            WHERE chunk_id IS NOT NULL AND len(vector_values) = 64 AND NOT list_contains(list_transform(vector_values, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true) AND list_sum(list_transform(vector_values, lambda x: abs(x))) > 0
+            GROUP BY 1)
+        SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM e a JOIN e b ON a.chunk_id < b.chunk_id WHERE array_cosine_similarity(a.v, b.v) >= 0.85
+    """,
+    "p10_lines": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS host, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\x{0B}\\f\\r\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(lower(x), '[^\\p{L}]+', '', 'g')), lambda x: x <> '') AS lines FROM documents),
+        f AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM d) GROUP BY 1, 2 HAVING count(*) > 5),
+        l AS (SELECT doc_id, host, unnest(lines) AS line FROM d),
+        s AS (SELECT doc_id, sum(length(line)) AS letters, sum(length(line)) FILTER (f.line IS NOT NULL) AS gone FROM l LEFT JOIN f USING (host, line) GROUP BY 1)
+        SELECT doc_id, coalesce(letters, 0)::BIGINT AS letters, CASE WHEN letters > 0 THEN coalesce(gone, 0)::BIGINT::DOUBLE / letters::BIGINT ELSE 0.0 END AS removed_share, coalesce(coalesce(gone, 0)::DOUBLE / letters >= 0.4, false) AS rejected
+        FROM d LEFT JOIN s USING (doc_id)
+    """,
     "p5_found": """
         SELECT table_name, row_id
         FROM (SELECT 'chunks' AS table_name, row_id, text FROM chunks UNION ALL SELECT 'large_blocks', row_id, text FROM large_blocks)
