@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm import encoding, lookalikes, mixing, names, neighbours, pairs, repetition, splitting, tokens
 from quire.llm.tables import passages
 from quire.operators import json_sql as js
-from quire.plans.session import cut, table
+from quire.plans.session import cut, small, table
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(passages(spark, sf_dir), table(spark, sf_dir, "split_limits"))
 
 
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their pieces, without the overlaps, and whether every piece keeps its limit."""
+    limits = small(table(spark, sf_dir, "split_limits").select("table_name", "max_chars", "overlap_chars"))
+    each = p5_pieces(spark, sf_dir).join(limits, "table_name")
+    part = F.when(F.col("piece_index") == 0, F.col("text")).otherwise(F.col("text").substr(F.col("overlap_chars") + 1, F.length("text")))
+    rows = each.select("table_name", "row_id", "piece_index", part.alias("part"), (F.length("text") <= F.col("max_chars")).alias("fits"))
+    joined = rows.groupBy("table_name", "row_id").agg(F.sort_array(F.collect_list(F.struct("piece_index", "part"))).alias("p"), F.bool_and("fits").alias("fits"))
+    return joined.select("table_name", "row_id", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"), "fits")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that had to be cut: those with a first piece."""
     return p5_pieces(spark, sf_dir).where("piece_index = 0").select("table_name", "row_id")
@@ -129,7 +139,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("repeated_share >= 0.4").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_search": p6_search, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_search": p6_search, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares, "p10_lines": p10_lines}
 
 _PAIRS = f"""
     WITH c AS (SELECT document_id, chunk_id, any_value(analysis) AS text FROM chunks_with_analysis WHERE analysis_status = 'success' AND chunk_id IS NOT NULL AND document_id IS NOT NULL AND analysis IS NOT NULL GROUP BY 1, 2, analysis),
@@ -173,5 +183,11 @@ SQL = {
         JOIN split_limits USING (table_name)
         WHERE length(text) > max_chars
     """,
+    "p5_rejoined": """
+        SELECT table_name, row_id, text, true AS fits
+        FROM (SELECT 'chunks' AS table_name, row_id, text FROM chunks UNION ALL SELECT 'large_blocks', row_id, text FROM large_blocks)
+        JOIN split_limits USING (table_name)
+        WHERE length(text) > max_chars
+    """,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
