@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.chunking import reconstruct, token_windows
 from quire.operators.statistics import ranked
-from quire.plans.session import written
+from quire.plans.session import small, written
 
 DOCUMENT_COLUMNS = ("document_id", "doc_name", "subject", "date_added", "start_chunk_id", "end_chunk_id", "chunk_overlap", "file_path")
 
@@ -48,11 +48,12 @@ def chunk_bounds(chunks: DataFrame) -> DataFrame:
 
 
 def number_chunks(chunks: DataFrame, document_order: str, sequence: str, first: int = 0) -> DataFrame:
-    """Adds chunk_num, running from ``first`` over documents in their order and chunks in theirs. No task holds the library: documents are counted, their counts summed by ranked()."""
-    starts = ranked(chunks, [], document_order).select(F.col("x").alias("_x"), "before")
-    joined = chunks.join(starts, F.col(document_order).cast("double") == F.col("_x"))
-    own = F.row_number().over(Window.partitionBy(document_order).orderBy(sequence)) - 1
-    return joined.withColumn("chunk_num", (F.col("before") + own + first).cast("bigint")).drop("_x", "before")
+    """Adds chunk_num, running from ``first`` over documents in their order and chunks in theirs, both numbers. No task holds the library or a document: counts are summed by ranked(), over documents and within each; only chunks of one place are numbered by rows."""
+    starts = small(ranked(chunks, [], document_order).select(F.col("x").alias("_x"), F.col("before").alias("_start")))
+    places = ranked(chunks, [document_order], sequence).select(F.col(document_order).alias("_d"), F.col("x").alias("_s"), F.col("before").alias("_place"))
+    joined = chunks.join(starts, F.col(document_order).cast("double") == F.col("_x")).join(places, (F.col(document_order) == F.col("_d")) & (F.col(sequence).cast("double") == F.col("_s")))
+    own = F.row_number().over(Window.partitionBy(document_order, sequence).orderBy(F.xxhash64(*chunks.columns))) - 1
+    return joined.withColumn("chunk_num", (F.col("_start") + F.col("_place") + own + first).cast("bigint")).drop("_x", "_start", "_d", "_s", "_place")
 
 
 def add_documents(documents: DataFrame, chunks: DataFrame, new_documents: DataFrame, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -352,9 +352,11 @@ def library_history(spark, d):
     return lib.history(table(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
-@_query("library_number_chunks", "SELECT row_id, (row_number() OVER (ORDER BY block_index, row_id) - 1)::BIGINT AS chunk_num FROM large_blocks WHERE block_index IS NOT NULL")
+@_query("library_number_chunks", "SELECT row_id, (row_number() OVER (ORDER BY start_chunk_id, row_id) - 1)::BIGINT AS chunk_num FROM large_blocks JOIN library_docs USING (document_id) WHERE start_chunk_id IS NOT NULL")
 def library_number_chunks(spark, d):
-    return lib.number_chunks(table(spark, d, "large_blocks").where("block_index is not null").select("row_id", "block_index"), "block_index", "row_id").select("row_id", "chunk_num")
+    docs = table(spark, d, "library_docs").where("start_chunk_id is not null").select("document_id", "start_chunk_id")
+    rows = table(spark, d, "large_blocks").select("document_id", "row_id").join(docs, "document_id")
+    return lib.number_chunks(rows, "start_chunk_id", "row_id").select("row_id", "chunk_num")
 
 
 @_query("library_latest_rows", _CHUNKS + "SELECT chunk_id, row_id, chunk_num FROM c")
