@@ -30,7 +30,7 @@ LATIN_C, TO_C = "ABEKMHOPCTYXaeopcyxkSIJsij", "АВЕКМНОРСТУХаеор
 LATIN_G, TO_G = "ABEZHIKMNOPTYXavopiuktyx", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριυκτγχ"
 # Letters and hyphens that look like plainer ones and have no compatibility form.
 PLAINER, PLAIN = "ɡıȷɑ‐‑", "gija--"
-INVISIBLE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF)))
+INVISIBLE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0)))
 SPACES = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 FULL_PUNCTUATION = "".join(c for c in map(chr, range(0xFF01, 0xFF5F)) if not unicodedata.normalize("NFKC", c).isalnum())
 
@@ -38,7 +38,7 @@ FULL_PUNCTUATION = "".join(c for c in map(chr, range(0xFF01, 0xFF5F)) if not uni
 @lru_cache(maxsize=1)
 def compatibility() -> tuple[str, str, dict[str, str]]:
     """Compatibility letters of one plain sign and their plain signs; those of several, by letter."""
-    blocks = (range(0x17F, 0x180), range(0xFF10, 0xFF5B), range(0xFF66, 0xFF9E), range(0x1D400, 0x1D800), range(0x210A, 0x2116), range(0x2119, 0x211E), range(0x2124, 0x2139), range(0xFB00, 0xFB07))
+    blocks = (range(0x17F, 0x180), range(0xFF10, 0xFF5B), range(0xFF61, 0xFFA0), range(0x1D400, 0x1D800), range(0x210A, 0x2116), range(0x2119, 0x211E), range(0x2124, 0x2139), range(0xFB00, 0xFB07))
     one: dict[str, str] = {}
     more: dict[str, str] = {}
     for c in (chr(i) for b in blocks for i in b):
@@ -75,7 +75,11 @@ def form_sql(source: str = "passages") -> str:
     many = expr
     for c, p in more.items():
         many = f"replace({many}, {_q(c)}, {_q(p)})"
+    greek_as_cyrillic = f"translate(translate(w, {_q(GREEK)}, {_q(GREEK_LATIN)}), {_q(LATIN_C)}, {_q(TO_C)})"
+    cyrillic_as_greek = f"translate(translate(w, {_q(CYRILLIC)}, {_q(CYRILLIC_LATIN)}), {_q(LATIN_G)}, {_q(TO_G)})"
     word = f"""CASE
+        WHEN regexp_matches(w, '\\p{{Cyrillic}}') AND regexp_matches(w, '\\p{{Greek}}') AND NOT regexp_matches(w, '\\p{{Latin}}')
+            THEN CASE WHEN NOT regexp_matches({greek_as_cyrillic}, '[\\p{{Greek}}\\p{{Latin}}]') THEN {greek_as_cyrillic} WHEN NOT regexp_matches({cyrillic_as_greek}, '[\\p{{Cyrillic}}\\p{{Latin}}]') THEN {cyrillic_as_greek} ELSE w END
         WHEN NOT regexp_matches(w, '[{OTHER}]') OR NOT regexp_matches(w, '\\p{{Latin}}') THEN w
         WHEN NOT regexp_matches(translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)}), '[{OTHER}]') THEN translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_LATIN + GREEK_LATIN)})
         WHEN regexp_matches(w, '\\p{{Cyrillic}}') AND NOT regexp_matches(translate(w, {_q(LATIN_C)}, {_q(TO_C)}), '\\p{{Latin}}') THEN translate(w, {_q(LATIN_C)}, {_q(TO_C)})
@@ -93,7 +97,7 @@ def form_sql(source: str = "passages") -> str:
             FROM plain),
         formed AS (
             SELECT table_name, row_id, text, b,
-                   CASE WHEN regexp_matches(b, '\\p{{Latin}}[{OTHER}]|[{OTHER}]\\p{{Latin}}')
+                   CASE WHEN regexp_matches(b, '\\p{{Latin}}[{OTHER}]|[{OTHER}]\\p{{Latin}}|\\p{{Greek}}\\p{{Cyrillic}}|\\p{{Cyrillic}}\\p{{Greek}}')
                         THEN array_to_string(list_transform(regexp_extract_all(b, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')
                         ELSE b END AS form
             FROM composed)

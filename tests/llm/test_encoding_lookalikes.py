@@ -142,3 +142,10 @@ def test_words_have_the_same_form():
 def test_an_accent_that_does_not_compose_is_a_case(spark):
     df = spark.createDataFrame([("t", 1, "x\u0302 y")], "table_name string, row_id int, text string")
     assert la.one_form(df, only_changed=True).count() == 1
+
+
+def test_further_scripts_and_signs(spark):
+    rows = {1: ("\u043c\u03bf\u0441\u0442", "\u043c\u043e\u0441\u0442"), 2: ("\u03bb\u043e\u03b3\u03bf\u03c2", "\u03bb\u03bf\u03b3\u03bf\u03c2"), 3: ("\uff76\uff9e\uff61", "\u30ac\u3002"), 4: ("a\ufe0eb\u3164c", "abc"), 5: ("\u043c\u043e\u0441\u0442 \u03bb\u03bf\u03b3\u03bf\u03c2", "\u043c\u043e\u0441\u0442 \u03bb\u03bf\u03b3\u03bf\u03c2")}
+    df = spark.createDataFrame([("t", k, v[0]) for k, v in rows.items()], "table_name string, row_id bigint, text string")
+    got = {r.row_id: (r.form, r.changed) for r in la.one_form(df).collect()}
+    assert got == {k: (want, want != text) for k, (text, want) in rows.items()}
