@@ -16,7 +16,8 @@ is decisive among the candidates that are not themselves spellings of one name.
    abbreviated forms are then judged against the roots alone, whose counts now include their spellings. Abbreviated
    forms that fit no root are one if their words are the same.
 
-No step gathers a group in one task; what grows with a group is the number of its distinct spellings.
+No step gathers a group in one task; what grows with a group is the number of its distinct spellings. No table is
+broadcast: all of them grow with the collection, and the driver would have to hold them.
 
 Defined results: null and blank names, and names for nobody in particular, are linked to nothing; a name that occurs
 once is its own entity; the same spelling in two groups is two entities; persons and organisations are told apart by
@@ -495,6 +496,11 @@ def _cost() -> Callable:
     return cost
 
 
+def _sorted_join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """a joined with b by sorting, however small b is thought to be: a written table is estimated by its compressed size, by which Spark would broadcast what does not fit the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _attach(spellings: DataFrame, candidates: DataFrame, *, higher: bool) -> DataFrame:
     """id, to: the candidate of highest posterior, by ids. Both: id, grp, spelling, org, n, regular. higher: only candidates ranked above the spelling."""
 
@@ -503,10 +509,10 @@ def _attach(spellings: DataFrame, candidates: DataFrame, *, higher: bool) -> Dat
         rows = df.select(F.xxhash64("grp", "org").alias("g"), "spelling", "org", "id", weight.alias("weight")).mapInArrow(_key_rows(canonical), _KEY_SCHEMA)
         return rows.select(F.xxhash64("g", "key").alias("k"), *(F.col(c).alias(new) for c, new in zip(("mark", "id", "weight"), names, strict=True)))
 
-    met = keys(spellings, False, "v_mark", "id", "v_weight").join(keys(candidates, True, "c_mark", "to", "c_weight"), "k").where("id <> to and (v_mark = 0 or v_mark <> c_mark)")
+    met = _sorted_join(keys(spellings, False, "v_mark", "id", "v_weight"), keys(candidates, True, "c_mark", "to", "c_weight"), "k").where("id <> to and (v_mark = 0 or v_mark <> c_mark)")
     met = (met.where("c_weight >= v_weight") if higher else met).select("id", "to").distinct()
     c = candidates.select(F.col("id").alias("to"), F.col("grp").alias("c_grp"), F.col("org").alias("c_org"), F.col("spelling").alias("canonical"), F.col("regular").alias("c_regular"), F.col("n").alias("c_n"))
-    both = met.join(c, "to").join(spellings.select("id", "grp", "org", "spelling", "regular", "n"), "id").where("grp = c_grp and org = c_org")
+    both = _sorted_join(_sorted_join(met, c, "to"), spellings.select("id", "grp", "org", "spelling", "regular", "n"), "id").where("grp = c_grp and org = c_org")
     if higher:
         both = both.where("struct(c_regular, c_n, canonical) > struct(regular, n, spelling)")
     scored = both.select("id", "to", "canonical", "c_n", _cost()("spelling", "canonical", "org").alias("cost")).where("cost is not null")
@@ -521,7 +527,7 @@ def _roots(links: DataFrame) -> DataFrame:
     """Links followed to their ends, by doubling. They lead upwards in rank, so there are no rings."""
     while True:
         on = links.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        links = cut(links.join(on, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        links = cut(_sorted_join(links, on, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         if links.where("moved").isEmpty():
             return links.select("id", "to")
         links = links.select("id", "to")
@@ -532,21 +538,21 @@ def link_names(counts: DataFrame) -> DataFrame:
     known = written(counts.select("grp", "spelling", "org", "n").mapInArrow(_features, _KNOWN_SCHEMA))
     full = known.where("kind = 'full'")
     first = _roots(cut(_attach(full, full, higher=True)))
-    merged = full.join(first, "id", "left").withColumn("to", F.coalesce("to", "id"))
+    merged = _sorted_join(full, first, "id", "left").withColumn("to", F.coalesce("to", "id"))
     weight = merged.groupBy(F.col("to").alias("id")).agg(F.sum("n").alias("n"))
-    heads = full.drop("n").join(weight, "id")
+    heads = _sorted_join(full.drop("n"), weight, "id")
     second = _attach(known.where("kind in ('short', 'acronym')"), heads, higher=False)
-    linked = cut(known.join(first.unionByName(second), "id", "left").withColumn("to", F.coalesce("to", "id")))
+    linked = cut(_sorted_join(known, first.unionByName(second), "id", "left").withColumn("to", F.coalesce("to", "id")))
     # abbreviated forms of no known name: those of the same words are one
     alone = linked.where("kind in ('short', 'acronym') and to = id and same is not null and same <> ''")
     group = alone.groupBy("grp", "org", "kind", "same").agg(F.max_by("id", F.struct("n", "spelling")).alias("head"), F.count("*").alias("forms")).where("forms > 1")
-    third = alone.join(group, ["grp", "org", "kind", "same"]).select("id", "head")
-    every = linked.join(third, "id", "left").select("grp", "spelling", "org", "n", F.coalesce("head", "to").alias("to"))
-    return every.join(known.select(F.col("id").alias("to"), F.col("spelling").alias("entity")), "to").select("grp", "spelling", "org", "n", "entity")
+    third = _sorted_join(alone, group, ["grp", "org", "kind", "same"]).select("id", "head")
+    every = _sorted_join(linked, third, "id", "left").select("grp", "spelling", "org", "n", F.coalesce("head", "to").alias("to"))
+    return _sorted_join(every, known.select(F.col("id").alias("to"), F.col("spelling").alias("entity")), "to").select("grp", "spelling", "org", "n", "entity")
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """grp, spelling_a, spelling_b of every two spellings of one entity, spelling_a the smaller."""
     a = linked.select("grp", "entity", F.col("spelling").alias("spelling_a"))
     b = linked.select("grp", "entity", F.col("spelling").alias("spelling_b"))
-    return a.join(b, ["grp", "entity"]).where("spelling_a < spelling_b").select("grp", "spelling_a", "spelling_b")
+    return _sorted_join(a, b, ["grp", "entity"]).where("spelling_a < spelling_b").select("grp", "spelling_a", "spelling_b")

@@ -87,6 +87,17 @@ def test_pairs_and_empty_tables(spark):
     assert nm.link_names(nm.mention_counts(empty, empty)).count() == 0
 
 
+def test_no_table_passes_through_the_driver(spark, monkeypatch):
+    plans, cut = [], nm.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(nm, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    counts = spark.createDataFrame([("d", s, False, 2) for s in ("Constance Garnerra", "Connie Garnerra", "Garnerra", "CONSTANCE GARNERRA", "Sue")], "grp string, spelling string, org boolean, n bigint")
+    found = nm.spelling_pairs(nm.link_names(counts))
+    assert found.count() == 6
+    plans.append(plan(found))
+    assert len(plans) >= 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_distance():
     assert [nm.distance(*p) for p in (("abc", "abc"), ("abc", "acb"), ("abc", "abcd"), ("abc", "xyz"), ("", "ab"))] == [0, 1, 1, 3, 2]
 
