@@ -2,8 +2,8 @@
 
 A wrong decoding is a chain of steps; each took the bytes of the text in one encoding for those of another. Undoing a
 step encodes in the wrong one and decodes in the right one. Candidates are made word by word, because a text may be
-garbled in part: a word that holds letter pairs foreign to the language sample is decoded by every step whose result
-lies in the alphabets of the sample, again and again while that makes it likelier in a code of letter pairs. The chains
+garbled in part: a word that holds letter pairs foreign to the labelled texts is decoded by every step whose result
+lies in their alphabets, again and again while that makes it likelier in a code of letter pairs. The chains
 so proposed for a text compete by description length: the whole text is compressed as it is and as each chain leaves it,
 with zstandard, by the dictionary of the language that describes it best, and the cost of the chain is added. Every
 chain proposed competes, alone and with the others. The shortest description wins; what no chain shortens stays
@@ -13,8 +13,10 @@ few words in a text, the letter-pair code decides between them.
 Texts are also garbled, without being recoverable, where replacement characters, C1 controls or bytes of a sequence cut
 short are left over.
 
-The model (dictionaries, alphabets, letter pairs) is fitted on a bounded sample of language-labelled texts:
-``SAMPLE_TEXTS`` of each language, chosen by hash, of at most ``SAMPLE_CHARS`` characters. Its size does not grow.
+The model (dictionaries, alphabets, letter pairs) is made of the counts of all language-labelled texts, read whole. In
+each language, letters, letter pairs and words that are fewer than one in ``RARE`` of its own are taken for noise, so
+that a few garbled texts among many do not make their garble known; for the same reason the model does not grow.
+zstandard trains a language's dictionary on its words in the proportions counted.
 
 Defined results: null, empty and blank texts are not garbled and stay as they are; every row gives one row, repeated
 rows too; texts are read whole.
@@ -23,21 +25,28 @@ rows too; texts are read whole.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalikes import plain_form
-
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4000, 32_000
+from quire.plans.session import written
+
+#: What is fewer than one in so many of a language's letters, letter pairs or words is no part of the model.
+RARE = 400_000
+#: Size of a language's dictionary, and words of the text that it is trained on and of each part of that text.
+DICTIONARY_BYTES, DICTIONARY_WORDS, PART_WORDS = 32_000, RARE // 2, 150
+#: Characters after which a task passes on its counts.
+FLUSH_CHARS = 1 << 25
 #: Words remembered between texts; speed depends on it, results do not.
 MEMO_WORDS = 200_000
-#: Bits of description: of naming a chain, of each step, and of a letter outside the sample's alphabets.
+#: Bits of description: of naming a chain, of each step, and of a letter outside the known alphabets.
 CHAIN_BITS, STEP_BITS, FOREIGN_BITS = 3, 3, 20.0
 #: Least gain in bits by which a word proposes a chain.
 WORD_GAIN = 6.0
@@ -55,6 +64,8 @@ _DIGIT = re.compile("[0-9]")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 _CUT = re.compile("â€|ï¿½|Ã[¢-ª¬-ºƒ€†‡ˆ‰Š‹ŒŽ•˜™š›œžŸ]")
 _SPLIT, _PARTS = re.compile("[ \n\r\t]+"), re.compile("([ \n\r\t]+)")
+#: Pieces of what is long between two spaces: in scripts without them, a few Han signs with the kana that follow, or kana.
+_PIECES = re.compile("[㐀-鿿豈-\ufaff\U00020000-\U0003ffff]{1,4}[぀-ゟ]{0,4}|[぀-ゟ]{1,8}|[゠-ヿ]{1,12}|[^぀-ヿ㐀-鿿豈-\ufaff\U00020000-\U0003ffff]{1,32}")
 #: Characters that stand for nothing visible or for a space: no evidence of garbling by themselves.
 _UNSEEN = {*map(chr, (0xA0, 0xAD, 0x180E, 0x3000, 0xFEFF, 0x1680, 0x34F, 0x61C)), *map(chr, range(0x2000, 0x2010)), *map(chr, range(0x2028, 0x2030)), *map(chr, range(0x205F, 0x2070)), *map(chr, range(0x300, 0x370))}
 
@@ -84,9 +95,40 @@ class _ToLatin(dict):
         return chr(code) if code < 0x80 else "￿"
 
 
+def _tally(words: dict[str, Counter]) -> Iterator[tuple[str, str, str, int]]:
+    """(language, kind, item, count) of the letters, letter pairs and words, once a task, of words counted by language."""
+    for lang, own in words.items():
+        found: dict[str, Counter] = {"letter": Counter(), "pair": Counter(), "word": Counter()}
+        for word, n in own.items():
+            w = f" {_digits(word)} "
+            for kind, items in (("letter", word), ("pair", map("".join, zip(w, w[1:], strict=False))), ("word", _PIECES.findall(word) if len(word) > 12 else (word,))):
+                counts = found[kind]
+                for item in items:
+                    counts[item] += n
+        for kind, counts in found.items():
+            for item, n in counts.items():
+                yield lang, kind, item, n
+
+
+def _dictionary(words: Iterable[tuple[str, int]]) -> bytes:
+    """Compression dictionary of a language by its words and their counts: trained on a text of DICTIONARY_WORDS words in these proportions."""
+    import zstandard
+
+    words = sorted(words, key=lambda x: (-x[1], x[0]))
+    share = min(1.0, DICTIONARY_WORDS / max(1, sum(n for _, n in words)))
+    # where words are not set apart by spaces, none are put in
+    text = [w if "⺀" <= w[-1] <= "鿿" else f"{w} " for w, n in words for _ in range(round(n * share))]
+    random.Random(1).shuffle(text)  # always the same order
+    raw = ["".join(text[i : i + PART_WORDS]).encode() for i in range(0, len(text), PART_WORDS)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
+    except zstandard.ZstdError:  # too little to train on
+        return b"".join(raw)[-DICTIONARY_BYTES:]
+
+
 @dataclass
 class Model:
-    """What the sample says: letters, letter pairs, and a compression dictionary of each language."""
+    """What the labelled texts say: letters, letter pairs, and a compression dictionary of each language."""
 
     pairs: dict[str, int] = field(default_factory=dict)
     firsts: dict[str, int] = field(default_factory=dict)
@@ -95,29 +137,28 @@ class Model:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
 
     @staticmethod
-    def fit(texts: list[tuple[str, str]]) -> Model:
-        import zstandard
-
-        model, by = Model(), {}
-        pairs: Counter = Counter()
-        letters: Counter = Counter()
-        for lang, text in texts:
-            by.setdefault(lang, []).append(text)
-            for word in _SPLIT.split(text):
-                w = f" {_digits(word)} "
-                letters.update(word)
-                pairs.update(map("".join, zip(w, w[1:], strict=False)))
-        for lang, own in by.items():
-            raw = [t.encode() for t in own]
-            try:
-                model.dictionaries[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
-            except zstandard.ZstdError:  # too little to train on
-                model.dictionaries[lang] = b"".join(raw)[-DICTIONARY_BYTES:]
+    def of(letters: dict[str, int], pairs: dict[str, int], dictionaries: dict[str, bytes]) -> Model:
         firsts: Counter = Counter()
         for p, n in pairs.items():
             firsts[p[0]] += n
-        model.pairs, model.firsts, model.letters, model.total = dict(pairs), dict(firsts), dict(letters), sum(letters.values())
-        return model
+        return Model(pairs, dict(firsts), letters, sum(letters.values()), dictionaries)
+
+    @staticmethod
+    def fit(texts: list[tuple[str, str]]) -> Model:
+        """The model of a few (language, text) at hand; that of a table is made by fit()."""
+        words: dict[str, Counter] = {}
+        for lang, text in texts:
+            words.setdefault(lang, Counter()).update(filter(None, _SPLIT.split(text)))
+        every, totals = [*_tally(words)], Counter()
+        for lang, kind, _, n in every:
+            totals[lang, kind] += n
+        kept = [x for x in every if x[3] * RARE >= totals[x[:2]]]
+        counts: dict[str, Counter] = {"letter": Counter(), "pair": Counter()}
+        for _, kind, item, n in kept:
+            if kind in counts:
+                counts[kind][item] += n
+        dictionaries = {k: _dictionary((item, n) for lang, kind, item, n in kept if lang == k and kind == "word") for k in words}
+        return Model.of(dict(counts["letter"]), dict(counts["pair"]), dictionaries)
 
 
 def _digits(w: str) -> str:
@@ -136,7 +177,7 @@ class Restorer:
         import zstandard
 
         self.m = model
-        # letters of the sample, in either case
+        # letters known, in either case
         model.letters = {c: 1 for k in model.letters for c in (k.lower(), k.upper()) if len(c) == 1} | model.letters
         self.known = set(model.letters)
         self.compressors = {lang: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for lang, d in model.dictionaries.items()}
@@ -186,15 +227,17 @@ class Restorer:
         return cost
 
     def odd(self, w: str) -> bool:
-        """Whether a word holds pairs with a non-ASCII letter that the sample lacks; in wide scripts, letters it lacks."""
+        """Whether a word holds pairs with a non-ASCII letter that the model lacks; in wide scripts, letters it lacks."""
         before, pairs = " ", self.m.pairs
+        capital = w[:1].upper()  # a name in small letters: its first pairs may be known with the capital
+        named = {" " + w[:1]: " " + capital, w[:2]: capital + w[1:2]} if w[:1] > "\x7f" and len(w) > 1 and capital != w[0] else {}
         for c in (*_digits(w), " "):
             if c in _UNSEEN:
                 c = " "
             if c.isupper() and before.isupper() and (before + c).lower() in pairs or before.isupper() and not c.isalpha() and before.lower() + c in pairs:
                 before = c
                 continue
-            if (c > "\x7f" or before > "\x7f") and before + c not in pairs and not (_wide(c) and c in self.known and (_wide(before) or before < "\x7f" or before in self.known) or _wide(before) and c in self.known):
+            if (c > "\x7f" or before > "\x7f") and before + c not in pairs and named.get(before + c) not in pairs and not (_wide(c) and c in self.known and (_wide(before) or before < "\x7f" or before in self.known) or _wide(before) and c in self.known):
                 return True
             before = c
         return False
@@ -366,18 +409,45 @@ class Restorer:
 # ---- operator
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", most: int = SAMPLE_TEXTS) -> Model:
-    """The model of a bounded sample: of each language with a two-letter code, ``most`` texts by hash, at most SAMPLE_CHARS long. Only they reach the driver."""
-    usable = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").rlike("^[a-z]{2}$") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 40))
-    # a share of each language by hash first, twice as many as are wanted, so that few rows go to the task that ranks them
-    shares = {r.lang: min(1 << 30, int((1 << 30) * 2 * most / r.n) + 1) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # two letters: at most 676
-    if not shares:
-        return Model.fit([])
-    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)])
-    few = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("lang", "text")
-    return Model.fit([(r.lang, r.text) for r in sample.collect()])
+_TALLY = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())])
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words: dict[str, Counter] = {}
+    chars = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = [*_tally(words)]
+        words.clear()
+        if rows:
+            yield from pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _TALLY, strict=True)], schema=_TALLY).to_batches(1 << 16)
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words.setdefault(lang, Counter()).update(filter(None, _SPLIT.split(text)))
+            chars += len(text)
+            if chars >= FLUSH_CHARS:
+                yield from flush()
+                chars = 0
+    yield from flush()
+
+
+def _trained(of: pa.Table) -> pa.Table:
+    words = zip(of.column("item").to_pylist(), of.column("n").to_pylist(), strict=True)
+    return pa.table({"lang": [of.column("lang")[0].as_py()], "dictionary": [_dictionary(words)]}, schema=pa.schema([("lang", pa.string()), ("dictionary", pa.binary())]))
+
+
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
+    """The model of all texts whose language is a two-letter code. They are counted in their tasks, and dictionaries trained in a task for each language; the driver gets letters and pairs of at least one in RARE, and dictionaries."""
+    usable = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").rlike("^[a-z]{2}$") & F.col("text").isNotNull())
+    counted = written(usable.mapInArrow(_tallies, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"))  # two letters: at most 676 languages
+    kept = counted.join(F.broadcast(totals), ["lang", "kind"]).where(F.col("n") * RARE >= F.col("total"))
+    counts: dict[str, dict[str, int]] = {"letter": {}, "pair": {}}
+    for r in kept.where("kind <> 'word'").groupBy("kind", "item").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind][r["item"]] = r.n
+    dictionaries = kept.where("kind = 'word'").select("lang", "item", "n").groupBy("lang").applyInArrow(_trained, "lang string, dictionary binary").collect()
+    return Model.of(counts["letter"], counts["pair"], {r.lang: bytes(r.dictionary) for r in dictionaries})
 
 
 RESTORED_SCHEMA = "table_name string, row_id bigint, text string, restored string, chain string, garbled boolean"

@@ -108,6 +108,29 @@ def test_operator_cases(spark):
     assert en.restore(df, empty).count() == 5
 
 
+def test_the_model_counts_all_texts(spark):
+    """However many and however long they are."""
+    from collections import Counter
+
+    texts = [f"L'été {n:03d} {chr(0x100 + n // 9)}{chr(0x100 + n % 9)}" for n in range(900)] + ["œuvre ñ " * 600, "ÿ"]
+    model = en.fit(spark.createDataFrame([("fr", t) for t in texts], "lang string, text string").repartition(3))
+    assert model.letters == Counter(c for t in texts for c in t.replace(" ", ""))
+    words = [f" {en._digits(w)} " for t in texts for w in t.split()]
+    assert model.pairs == Counter(a + b for w in words for a, b in zip(w, w[1:], strict=False))
+    assert model == en.Model.fit([("fr", t) for t in texts])
+
+
+def test_a_few_garbled_texts_do_not_make_garble_known(spark):
+    texts = [FRENCH] * 2500 + [_garble("clé", ("cp1252", "utf-8"))]
+    model = en.fit(spark.createDataFrame([("fr", t) for t in texts], "lang string, text string"))
+    assert "Ã©" not in model.pairs and model.pairs["té"] == FRENCH.count("té") * 2500
+
+
+def test_names_known_with_a_capital_are_not_odd_without():
+    r = en.Restorer(en.Model.fit([("en", "Ångholm met Étienne.")]))
+    assert not r.odd("ångholm") and not r.odd("étienne") and r.odd("åtholm") and r.odd("mångholm")
+
+
 FORMS = {
     "\uff34\uff4f\uff4c\uff56\uff01": "Tolv!", "cafe\u0301": "caf\xe9", "a\u200bb\ufeffc\xad": "abc", "a\xa0b\u3000c\u2009d": "a b c d", "\ufb01ne \u017fo \u0261ood": "fine so good", "Beatri\u0445": "Beatrix", "пр\x6fдала": "продала",
     "\U0001d40b\U0001d5fc\U0001d69b": "Lor", "\u2160t": "It", "\u30ab\u3099": "\u30ac", "h\u0456\u0455": "his", "\u03bfld": "old",
